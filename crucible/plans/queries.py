@@ -1,9 +1,30 @@
 """Queries over the given tables and the SQL they are checked with."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crucible.operators import units
+from crucible.runtime import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.same_quantity_pairs(units.to_common_unit(table(spark, d, "activities"), table(spark, d, "assays")))
+
+
+def p2_converted(spark: SparkSession, d: str) -> DataFrame:
+    c = units.to_common_unit(table(spark, d, "activities"), table(spark, d, "assays"))
+    return c.select("activity_id", "unit", "said_by", F.round(F.log10("value_nm"), 6).alias("log_nm"))
+
+
+def p2_conversions(spark: SparkSession, d: str) -> DataFrame:
+    return units.conversion_table(units.stated_quantities(table(spark, d, "activities"), table(spark, d, "assays")))
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)}
 
 
 def oracle_sql():
-    return {}
+    return units.oracle_sql()
