@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crucible.llm import similar_sets, split_overlap, term_counts
+from crucible.llm import garbled, grouped_split, packing, similar_sets, split_overlap, term_counts, tokens
 from crucible.runtime import table
 
 TERM_SQL = r"\[[^\]]*\]|Br|Cl|%[0-9][0-9]|\S"
@@ -32,13 +32,37 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_frequencies(_readable(spark, d), "smiles")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split.leaking_records(table(spark, d, "compounds"))
+
+
+def p4_split(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split.grouped_split(table(spark, d, "compounds"), "record_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     records = _readable(spark, d).select(F.col("mol_id").alias("id"), "smiles").union(table(spark, d, "structures").select("id", "smiles"))
     return similar_sets.similar_records(records, "id", "smiles").select("id_a", "id_b")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled_texts(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled_texts(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_terms, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_terms, p4_found, p4_split, p5_found, p6_ids, p7_containers, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
