@@ -33,8 +33,8 @@ def pieces(text: Column, width: int) -> Column:
     return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
 
 
-def _prefixes(width: int, depth: int, trees: int, seed: int):
-    """Worker: (tid, text) to (slot, tid, size), one row a tree; slot is the hashed tree and signature prefix."""
+def _sketches(width: int, depth: int, trees: int, seed: int):
+    """Worker: (tid, text) to (tid, text, size, slots, bits): slots are the hashed tree and signature prefix, one a tree; bits one bit a minhash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -44,9 +44,10 @@ def _prefixes(width: int, depth: int, trees: int, seed: int):
         fold = rng.integers(1, 1 << 63, depth, dtype=np.uint64) | np.uint64(1)
         tree = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
         powers = np.array([pow(_P, i, 1 << 64) for i in range(width)], np.uint64)
+        words = -(-k // 64)
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            slots, sizes, own = np.empty((len(texts), trees), np.uint64), np.zeros(len(texts), np.int32), np.zeros(len(texts), bool)
+            texts = b.column(1).to_pylist()
+            slots, bits, sizes = np.zeros((len(texts), trees), np.uint64), np.zeros((len(texts), words * 64), np.uint8), np.zeros(len(texts), np.int32)
             for i, s in enumerate(texts):
                 code = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
                 if len(code) < width:
@@ -63,9 +64,11 @@ def _prefixes(width: int, depth: int, trees: int, seed: int):
                     x += add[:, None]
                     np.minimum(least, x.min(axis=1), out=least)
                 slots[i] = ((least.reshape(trees, depth) >> np.uint64(16)) * fold).sum(axis=1) + tree
-                sizes[i], own[i] = len(h), True
-            slots, ids, sizes = slots[own], ids[own], sizes[own]
-            yield pa.RecordBatch.from_arrays([pa.array(slots.ravel().view(np.int64)), pa.array(np.repeat(ids, trees)), pa.array(np.repeat(sizes, trees))], ["slot", "tid", "size"])
+                bits[i, :k] = (least >> np.uint64(21)) & np.uint64(1)
+                sizes[i] = len(h)
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n).cast(pa.list_(pa.int64())) for v, n in ((slots.view(np.int64), trees), (packed, words))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *lists], ["tid", "text", "size", "slots", "bits"])
 
     return run
 
@@ -74,14 +77,21 @@ def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, reca
     """(x, y, similarity): ids of all pairs of distinct texts (tid, text) whose piece sets have at least that Jaccard similarity.
 
     Minhash signatures stand in many independent trees; texts that share a prefix of the forest's depth are candidates where
-    their set sizes allow the threshold, and the sets themselves decide.
+    their set sizes allow the threshold. One bit of every minhash tells most unrelated candidates apart (the bound lies five
+    standard deviations below what a pair at the threshold has), and the sets themselves decide.
     """
     depth, trees = forest_shape(texts.count(), threshold, recall)
-    leaves = texts.select("tid", "text").mapInArrow(_prefixes(width, depth, trees, seed), "slot long, tid long, size int")
+    s = written(texts.select("tid", "text").mapInArrow(_sketches(width, depth, trees, seed), "tid long, text string, size int, slots array<long>, bits array<long>").where("size > 0"))
+    leaves = s.select(F.explode("slots").alias("slot"), "tid", "size")
     a, b = leaves.toDF("slot", "x", "m"), leaves.toDF("slot", "y", "n")
     close = (F.col("m") >= F.col("n") * threshold - 1) & (F.col("n") >= F.col("m") * threshold - 1)
     pairs = a.join(b, "slot").where((F.col("x") < F.col("y")) & close).select("x", "y").distinct()
-    pairs = pairs.join(texts.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
+    k = depth * trees
+    expected = (1 - threshold) / 2
+    most = math.floor(k * expected + 5 * math.sqrt(k * expected * (1 - expected)))
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(-(-k // 64))), F.lit(0))
+    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("bits").alias("q")), "y").where(differ <= most).select("x", "y")
+    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(s.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
     pairs = pairs.select("x", "y", pieces(F.col("s"), width).alias("s"), pieces(F.col("t"), width).alias("t"))
     pairs = pairs.select("x", "y", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))
     return pairs.select("x", "y", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
