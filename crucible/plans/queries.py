@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crucible.operators import units
+from crucible.plans import molecule_queries, table_queries
+from crucible.plans.molecule_queries import mol_basic  # noqa: F401
 from crucible.runtime import table
 
 
@@ -22,9 +24,9 @@ def p2_conversions(spark: SparkSession, d: str) -> DataFrame:
     return units.conversion_table(units.stated_quantities(table(spark, d, "activities"), table(spark, d, "assays")))
 
 
-def queries():
-    return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)}
+def queries() -> dict:
+    return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)} | molecule_queries.queries() | table_queries.queries()
 
 
-def oracle_sql():
-    return units.oracle_sql()
+def oracle_sql() -> dict[str, str]:
+    return units.oracle_sql() | molecule_queries.oracle_sql() | table_queries.oracle_sql()
