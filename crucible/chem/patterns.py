@@ -111,7 +111,7 @@ def matches(m: Molecule, q: Molecule) -> Iterator[tuple[int, ...]]:
 
 def match_sets(m: Molecule, q: Molecule) -> list[list[int]]:
     """The distinct atom sets that match, each sorted."""
-    return sorted({tuple(sorted(x)) for x in matches(m, q)})
+    return [list(s) for s in sorted({tuple(sorted(x)) for x in matches(m, q)})]
 
 
 def write_smiles(m: Molecule, atoms: list[int] | None = None) -> str:

@@ -86,6 +86,26 @@ def descriptors(smiles: Column | str, names: list[str]) -> Column:
     return F.when(v.isNotNull(), F.struct(*[F.element_at(v, i + 1).alias(n) for i, n in enumerate(names)]))
 
 
+def descriptor_table(df: DataFrame, id_col: str, smiles_col: str, names: list[str]) -> DataFrame:
+    """(id, one double a name) of the rows whose text can be read; the others don't come out. One pass, also for hundreds of names."""
+    from crucible.chem.descriptors import FAMILY_OF
+
+    for n in names:
+        FAMILY_OF[n]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from crucible.chem.descriptors import compute
+
+        for b in batches:
+            got = [(i, v) for i, v in zip(b["id"], _each(b["s"], lambda m: compute(m, names)), strict=True) if v is not None]
+            out = pd.DataFrame([v for _, v in got], columns=names, dtype=float)
+            out.insert(0, "id", [i for i, _ in got])
+            yield out
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(F.col(id_col).alias("id"), F.col(smiles_col).alias("s")).mapInPandas(run, f"id {kind}, " + ", ".join(f"`{n}` double" for n in names)).withColumnRenamed("id", id_col)
+
+
 def fingerprint(smiles: Column | str, kind: str = "morgan", bits: int = 2048) -> Column:
     """The sorted numbers of the set bits; kinds are morgan, topological, combined (the two side by side) and keys."""
 

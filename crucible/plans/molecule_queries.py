@@ -127,16 +127,15 @@ def descriptor_table(spark: SparkSession, d: str) -> DataFrame:
 
     wanted = names(("composition", "bonding", "rings", "groups", "degrees"))
     m = spread(table(spark, d, "molecules").where("error is null and smiles is not null"))
-    x = m.select("mol_id", M.descriptors("smiles", wanted).alias("x")).where("x is not null")
-    return x.select("mol_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.round(F.col(f"x.{n}"), 6).alias("value")) for n in wanted])))
+    x = M.descriptor_table(m, "mol_id", "smiles", wanted)
+    return x.select("mol_id", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 6).alias("value")) for n in wanted])))
 
 
 def all_descriptors(spark: SparkSession, d: str) -> DataFrame:
     """All descriptors of the reference structures."""
     from crucible.chem.descriptors import names
 
-    x = spread(table(spark, d, "structures")).select("id", M.descriptors("smiles", names()).alias("x")).where("x is not null")
-    return x.select("id", *[F.col(f"x.{n}").alias(n) for n in names()])
+    return M.descriptor_table(spread(table(spark, d, "structures")), "id", "smiles", names())
 
 
 def molecule_weights(spark: SparkSession, d: str) -> DataFrame:
