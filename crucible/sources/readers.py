@@ -132,7 +132,7 @@ def mmcif_atoms(spark: SparkSession, path: str, model: int | None = 1) -> DataFr
                             rows.append([mol, *[None if d.get(n) in (".", "?", None) else d[n] for n in names]])
                 yield pd.DataFrame(rows, columns=["mol_id", *names])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("mol_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("mol_id"), "value")
     raw = files.mapInPandas(read, "mol_id string, " + ", ".join(f"`{n}` string" for n in names))
     a = raw.select(
         "mol_id", F.col("id").try_cast("int").alias("serial"), F.initcap("type_symbol").alias("symbol"), F.coalesce("auth_atom_id", "label_atom_id").alias("pdb_name"), F.coalesce("auth_comp_id", "label_comp_id").alias("res_name"), F.coalesce("auth_asym_id", "label_asym_id").alias("chain_id"),
