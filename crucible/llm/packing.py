@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.llm.tokens import VOCABULARY, encode_texts
-from crucible.runtime import cut
+from crucible.runtime import cut, written
 
 
 def plan(available: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -119,4 +119,5 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", cap
 
 def pack_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
     """The texts of a table in containers of that many tokens; null and empty texts take no room and are left out."""
-    return pack(encode_texts(rows, id_col, text_col, vocabulary, out="tokens"), id_col, "tokens", capacity)
+    # written, as laying items out by size reads them twice
+    return pack(written(encode_texts(rows, id_col, text_col, vocabulary, out="tokens")), id_col, "tokens", capacity)
