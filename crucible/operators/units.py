@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crucible.runtime import written
+
 # Spellings of the units, in lower case, and their conversion: log10(nM) = sign * x + mass * log10(g/mol) + offset,
 # where x is log10 of the number, or the number itself for a logarithm.
 SPELLINGS = {
@@ -160,7 +162,7 @@ def to_common_unit(activities: DataFrame, assays: DataFrame) -> DataFrame:
 
     Mass per volume without a positive mol_weight, missing numbers, percentages and unknown units have no value.
     """
-    stated = stated_quantities(activities, assays)
+    stated = written(stated_quantities(activities, assays))  # the texts are searched once; links, labels and values read the result
     table = conversion_table(stated).select("label", F.col("unit").alias("common"), "sign", "mass", "shift")
     s = stated.drop("unit").join(F.broadcast(table), "label", "left")  # one row a spelling
     logarithm = F.col("common").isin("-log10 M", "log10 M")
