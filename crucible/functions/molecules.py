@@ -50,19 +50,20 @@ def parse(smiles: Column | str) -> Column:
         from crucible.chem.graph import Molecule
         from crucible.chem.smiles import SmilesError
 
+        def one(text: str | None) -> tuple:
+            try:
+                if text is None or text != text:
+                    raise SmilesError("no text")
+                m = Molecule(text)
+            except (SmilesError, KeyError) as e:
+                return (None, None, None, None, None, str(e))
+            atoms = [dict(idx=i, symbol=m.symbol[i], formal_charge=m.charge[i], isotope=m.isotope[i] or None, n_h=m.hydrogens[i], aromatic=m.aromatic[i], hyb=m.hyb[i]) for i in range(m.n)]
+            bonds = [dict(idx=k, a=a, b=b, order_kek=m.order[k], aromatic=m.arom_bond[k], in_ring=m.ring_bond[k]) for k, (a, b) in enumerate(m.ends)]
+            return (m.formula(), m.weight(), atoms, bonds, m.rings, None)
+
         for s in batches:
-            rows = []
-            for text in s:
-                try:
-                    if text is None or text != text:
-                        raise SmilesError("no text")
-                    m = Molecule(text)
-                except (SmilesError, KeyError) as e:
-                    rows.append((None, None, None, None, None, str(e)))
-                    continue
-                atoms = [dict(idx=i, symbol=m.symbol[i], formal_charge=m.charge[i], isotope=m.isotope[i] or None, n_h=m.hydrogens[i], aromatic=m.aromatic[i], hyb=m.hyb[i]) for i in range(m.n)]
-                bonds = [dict(idx=k, a=a, b=b, order_kek=m.order[k], aromatic=m.arom_bond[k], in_ring=m.ring_bond[k]) for k, (a, b) in enumerate(m.ends)]
-                rows.append((m.formula(), m.weight(), atoms, bonds, m.rings, None))
+            known = {text: one(text) for text in s.unique()}
+            rows = [known[text] for text in s]
             yield pd.DataFrame(rows, columns=["formula", "weight", "atoms", "bonds", "rings", "error"])
 
     return run(smiles)

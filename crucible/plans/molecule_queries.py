@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from crucible.functions import molecules as M
 from crucible.operators.selection import Selector
-from crucible.runtime import spread, table
+from crucible.runtime import spread, table, written
 
 
 def _made(spark: SparkSession, d: str, kind: str) -> DataFrame:
     n = F.col("p_size")
     smiles = {"chain": F.expr("repeat('C', p_size)"), "ring": F.expr("concat('C1', repeat('C', p_size - 2), 'C1')"), "alcohol": F.expr("concat(repeat('C', p_size - 1), 'O')")}[kind]
     p = table(spark, d, "part").where(n >= (3 if kind == "ring" else 1))
-    return p.select(F.col("p_partkey").alias("mol_id"), n.alias("n"), smiles.alias("smiles"))
+    return spread(p.select(F.col("p_partkey").alias("mol_id"), n.alias("n"), smiles.alias("smiles")))
 
 
 def mol_basic(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def bond_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _selector(spark: SparkSession, d: str, kind: str) -> Selector:
-    m = M.molecules(_made(spark, d, kind), "mol_id", "smiles")
+    m = written(M.molecules(_made(spark, d, kind), "mol_id", "smiles"))  # atoms, bonds and rings read it
     return Selector(M.atoms(m), M.bonds(m), M.rings(m))
 
 
