@@ -26,9 +26,8 @@ def mol_basic(spark: SparkSession, d: str) -> DataFrame:
 
     m = M.molecules(_made(spark, d, "chain"), "mol_id", "smiles")
     mass = spark.createDataFrame(list(MASS.items()), "symbol string, mass double")
-    a = M.atoms(m).join(F.broadcast(mass), "symbol")
-    per = a.groupBy("mol_id").agg(F.round(F.sum(F.col("mass") + 1.008 * F.col("n_h")), 4).alias("weight"), F.count("*").alias("heavy"), F.sum("n_h").alias("hydrogens"))
-    return per.join(m.select("mol_id", "formula"), "mol_id")
+    a = m.select("mol_id", "formula", F.inline("atoms")).join(F.broadcast(mass), "symbol")
+    return a.groupBy("mol_id", "formula").agg(F.round(F.sum(F.col("mass") + 1.008 * F.col("n_h")), 4).alias("weight"), F.count("*").alias("heavy"), F.sum("n_h").alias("hydrogens"))
 
 
 def _descriptors(kind: str, names: dict[str, str]):  # noqa: ANN202
