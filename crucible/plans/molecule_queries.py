@@ -157,8 +157,38 @@ def structure_lookup(spark: SparkSession, d: str) -> DataFrame:
     return s.where("inchikey is not null and name like 'a%' or id = 7").join(table(spark, d, "synonyms").distinct(), "id", "left").select("id", "inchikey", "synonym")
 
 
+def graph_of_chains(spark: SparkSession, d: str) -> DataFrame:
+    from crucible.functions.graphs import graph_properties
+
+    return _made(spark, d, "chain").select("mol_id", graph_properties("smiles").alias("g")).select("mol_id", "g.connected", "g.tree", "g.has_cycle", "g.diameter", "g.bridges", "g.matching", "g.symmetry_classes")
+
+
+def graph_of_rings(spark: SparkSession, d: str) -> DataFrame:
+    from crucible.functions.graphs import graph_properties
+
+    return _made(spark, d, "ring").select("mol_id", graph_properties("smiles").alias("g")).select("mol_id", "g.tree", "g.cycle", "g.euler", "g.diameter", "g.bridges", "g.matching", "g.symmetry_classes")
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Registered functions, called from SQL."""
+    from crucible.functions import registry
+
+    registry.load(spark, "molecules")
+    _made(spark, d, "alcohol").createOrReplaceTempView("_alcohols")
+    return spark.sql("SELECT mol_id, round(mol_weight(smiles), 4) AS weight, length(mol_scaffold(smiles)) AS ring_atoms FROM _alcohols")
+
+
+def udtf_substructure(spark: SparkSession, d: str) -> DataFrame:
+    from crucible.functions import registry
+
+    registry.load(spark, "substructures")
+    _made(spark, d, "chain").createOrReplaceTempView("_chains")
+    return spark.sql("SELECT mol_id, count(*) AS n FROM _chains, LATERAL substructure_matches(smiles, 'CCC') GROUP BY mol_id")
+
+
 def queries() -> dict:
     own = (
+        graph_of_chains, graph_of_rings, sql_functions, udtf_substructure,
         mol_basic, wiener_by_edges, zagreb_by_degrees, atom_table, bond_table, sele_and_or_not, sele_bonded, sele_within_bonds, sele_ring, sum_prop, substructure_semi_join, substructure_paths, scaffold_of_rings, smiles_round_trip,
         morgan_fingerprints, descriptor_table, all_descriptors, molecule_weights, structure_synonyms, structure_lookup,
     )
@@ -189,6 +219,10 @@ def oracle_sql() -> dict[str, str]:
         "substructure_semi_join": f"SELECT mol_id, 1 AS n FROM {chain} WHERE n >= 3",
         "substructure_paths": f"SELECT mol_id, greatest(n - 3, 0) AS n FROM {chain}",
         "scaffold_of_rings": f"SELECT mol_id, CASE WHEN n <= 20 THEN n ELSE 0 END AS atoms FROM {ring}",
+        "graph_of_chains": f"SELECT mol_id, true AS connected, true AS tree, false AS has_cycle, n - 1 AS diameter, n - 1 AS bridges, n // 2 AS matching, (n + 1) // 2 AS symmetry_classes FROM {chain}",
+        "graph_of_rings": f"SELECT mol_id, false AS tree, true AS cycle, true AS euler, n // 2 AS diameter, 0 AS bridges, n // 2 AS matching, 1 AS symmetry_classes FROM {ring}",
+        "sql_functions": f"SELECT mol_id, round(12.011 * (n - 1) + 15.999 + 1.008 * 2 * n, 4) AS weight, 0 AS ring_atoms FROM {chain}",
+        "udtf_substructure": f"SELECT mol_id, n - 2 AS n FROM {chain} WHERE n >= 3",
         "smiles_round_trip": "SELECT mol_id, true AS same FROM molecules WHERE smiles IS NOT NULL AND error IS NULL",
         "structure_synonyms": "SELECT id, name, synonym, k FROM (SELECT id, synonym, row_number() OVER (PARTITION BY id ORDER BY synonym) AS k FROM (SELECT DISTINCT id, synonym FROM synonyms)) JOIN structures USING (id) WHERE k <= 3",
         "structure_lookup": "SELECT id, inchikey, synonym FROM structures LEFT JOIN (SELECT DISTINCT id, synonym FROM synonyms) USING (id) WHERE inchikey IS NOT NULL AND name LIKE 'a%' OR id = 7",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from crucible.operators import dataset as D
 from crucible.operators import joins as J
+from crucible.operators import models as Q
 from crucible.operators import similarity as S
 from crucible.operators import statistics as T
+from crucible.operators import structure as G
 from crucible.runtime import table
 from crucible.streaming import streams
 
@@ -199,8 +201,46 @@ def session_counts(spark: SparkSession, d: str) -> DataFrame:
     return streams.sessions(table(spark, d, "events")).select("user_id", "start", "n")
 
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Noise by density: fewer than 4 points within 0.08 and no such point near."""
+    c = G.dbscan(_points(spark, d), "vec_id", ["x", "y", "z"], 0.08, 4)
+    return c.select("vec_id", (F.col("cluster") < 0).alias("noise"))
+
+
+def umap_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of the query set, fuzzy weights, union of both directions."""
+    return S.fuzzy_union(G.smooth_knn(S.nearest(_vectors(spark, d), "id", "x", 15), 15))
+
+
+def qsar_regression(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "compounds").where("descriptor_1 <> -999 and descriptor_2 <> -999 and descriptor_3 <> -999 and target is not null")
+    r = Q.regression(c, ["descriptor_1", "descriptor_2", "descriptor_3"], "target", "split")
+    return r.select("set", "n", F.round("rmse", 6).alias("rmse"))
+
+
+def pca_variances(spark: SparkSession, d: str) -> DataFrame:
+    """Variances of the two first components over coordinates sum to at most the number of scaled features."""
+    r = Q.principal_components(_points(spark, d), ["x", "y", "z"], 2)
+    return r.agg(F.round(F.var_samp(F.col("pc")[0]), 5).alias("first"), F.round(F.var_samp(F.col("pc")[1]), 5).alias("second"))
+
+
+def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return Q.k_means(_points(spark, d), ["x", "y", "z"], 5).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def shapes_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """Shape descriptors of the points of each label, all of one element."""
+    p = _points(spark, d).join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").select(F.col("label").cast("long").alias("mol_id"), F.lit("C").alias("symbol"), "x", "y", "z")
+    return G.shape_descriptors(p).select("mol_id", F.round("RadiusOfGyration", 6).alias("rg"), F.round("MeanAtomicDistance3D", 6).alias("mean_distance"), F.round("MolecularDiameter", 6).alias("diameter"))
+
+
 def queries() -> dict:
     own = (
+        dbscan_clusters, umap_edges, qsar_regression, pca_variances, kmeans_clusters, shapes_by_label,
         cleanse_dedup, curate_filter_agg, pactivity, standardised, group_packing, split_stats, random_split, kennard_stone, duplex_split, d_optimal_split, sphere_exclusion_split, feature_variances, top_correlations, pruned_features, ks_two_sample, kl_histogram,
         regression_metrics, external_q2, class_metrics, roc_auc, leverage, embedding_knn, cosine_knn, cityblock_knn, fuzzy_union, bit_frequencies, range_join_dist, interval_join, pair_by_rank, event_islands, dihedral_angles, radius_of_gyration, degree_entropy,
         tumbling_window_count, session_counts,
@@ -216,6 +256,12 @@ def oracle_sql() -> dict[str, str]:
     c0 = "SELECT record_id, " + ", ".join(f"nullif({c}, -999.0) AS {c}" for c in ("descriptor_1", "descriptor_2", "descriptor_3")) + " FROM compounds"
     mom = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) * sqrt(count({c}) * 1.0 / count(*)) AS s{i}" for i, c in enumerate(("descriptor_1", "descriptor_2", "descriptor_3")))
     return {
+        "dbscan_clusters": """WITH e AS (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z FROM embeddings),
+            n AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.08::double * 0.08::double), c AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 4)
+            SELECT vec_id, vec_id NOT IN (SELECT i FROM n WHERE j IN (SELECT i FROM c)) AS noise FROM e""",
+        "shapes_by_label": """WITH e AS (SELECT vec_id, label::bigint AS mol_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z FROM embeddings),
+            g AS (SELECT mol_id, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rg FROM e GROUP BY 1), p AS (SELECT a.mol_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS dd FROM e a JOIN e b ON a.mol_id = b.mol_id AND a.vec_id < b.vec_id)
+            SELECT mol_id, round(max(rg), 6) AS rg, round(avg(dd), 6) AS mean_distance, round(max(dd), 6) AS diameter FROM p JOIN g USING (mol_id) GROUP BY 1""",
         "cleanse_dedup": f"SELECT record_id, smiles FROM (SELECT record_id, {trim} AS smiles, row_number() OVER (PARTITION BY {trim} ORDER BY record_id) AS k FROM compounds WHERE smiles IS NOT NULL AND {trim} <> '') WHERE k = 1",
         "curate_filter_agg": "SELECT molecule_ref, round(median(ic50), 6) AS value, count(*) AS n FROM activities WHERE ic50 IS NOT NULL AND molecule_ref IS NOT NULL AND standard_type = 'IC50' AND standard_units = 'nM' AND replace(standard_relation, '''', '') = '=' AND ic50 >= 0.001 GROUP BY molecule_ref",
         "pactivity": "SELECT activity_id, CASE WHEN ic50 > 0 THEN round(-log10(ic50 * 1e-9), 6) END AS p FROM activities",
