@@ -28,5 +28,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)} | molecule_queries.queries() | table_queries.queries()
 
 
+#: Columns whose SQL type is narrower or another than the query's, by query.
+TYPES = {
+    "mol_basic": {"weight": "DOUBLE", "heavy": "BIGINT", "hydrogens": "BIGINT"}, "descriptors_chain": dict.fromkeys(("zagreb1", "platt", "weight", "walks2"), "DOUBLE"), "descriptors_ring": dict.fromkeys(("zagreb1", "rings", "cyclomatic", "radius"), "DOUBLE"),
+    "descriptors_alcohol": dict.fromkeys(("oxygens", "hydroxyls", "acceptors", "hydrogens", "weight", "ethers", "hetero"), "DOUBLE"), "wiener_by_edges": {"wiener": "BIGINT", "polarity": "BIGINT"}, "zagreb_by_degrees": {"zagreb1": "BIGINT"},
+    "atom_table": {"n": "BIGINT", "hydrogens": "BIGINT"}, "bond_table": {"n": "BIGINT", "in_ring": "BIGINT", "single": "BIGINT"}, "sele_and_or_not": {"n": "BIGINT"}, "sele_bonded": {"n": "BIGINT"}, "sele_within_bonds": {"n": "BIGINT"}, "sele_ring": {"n": "BIGINT"},
+    "sum_prop": {"total": "DOUBLE"}, "sql_functions": {"weight": "DOUBLE"}, "udtf_substructure": {"n": "BIGINT"}, "structure_synonyms": {"k": "INTEGER"}, "embedding_knn": {"rank": "INTEGER"}, "cosine_knn": {"rank": "INTEGER"}, "cityblock_knn": {"rank": "INTEGER"}, "bit_frequencies": {"bit": "INTEGER"},
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return units.oracle_sql() | molecule_queries.oracle_sql() | table_queries.oracle_sql()
+    sql = units.oracle_sql() | molecule_queries.oracle_sql() | table_queries.oracle_sql()
+    for name, types in TYPES.items():
+        sql[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql[name]})"
+    return sql
