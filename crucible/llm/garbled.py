@@ -12,17 +12,19 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crucible.runtime import written
+
 #: Rows of the bounded sample that the classifier is fitted on.
 TRAIN_ROWS = 4000
 #: Characters of a row that the fit looks at (whole texts are searched afterwards).
 TRAIN_CHARS = 20_000
 #: Hashed features of a token.
 FEATURES = 1 << 14
-#: A token in more than this share of the sample's rows isn't taken for one garbled byte for byte.
+#: A token in more than this share of the texts isn't taken for one garbled byte for byte.
 RARE = 0.002
 #: Distinct tokens a worker remembers.
 KNOWN = 200_000
@@ -242,70 +244,133 @@ class Judge:
         return got
 
     def _judge(self, token: str) -> tuple[int, str]:
-        p, seen = scores(self.model, token), self.model.seen
+        seen = self.model.seen
         own = seen.get(shape(token), 0)
-        if p[0] < 0.5:
-            for c in np.argsort(-p)[:10]:
-                if not c or p[c] < 0.003:
-                    continue
-                chain = CHAINS[c - 1]
-                back = invert(token, chain)
-                if back is None or back == token or not _plausible(back) or re.search("[\x80-\x9f]", back):
-                    continue
-                if chain[-1][0] == "utf-8":  # strict decoding of several bytes is evidence of its own
-                    if not _obvious(back):
-                        return int(c), back
-                    continue
-                # one byte for one byte always decodes: the original must be by far the more common one, or the token unseen and the case clear
-                then = seen.get(shape(back), 0)
-                if (own <= self.few and then >= 20 * max(own, 0.5)) or (not own and p[0] < 0.02 and TOKEN.search(back) and scores(self.model, back)[0] > 0.9):
-                    return int(c), back
-        if _LOST in token:
-            return -1, token
-        best = int(np.argmax(p))
-        if best and p[0] < 0.05 and CHAINS[best - 1][-1][0] == "utf-8":  # the chain is clear but bytes were lost
-            back = _tables(CHAINS[best - 1][-1][1])[1]
-            m = _SEQUENCE.search(bytes(back.get(ch, 0) for ch in token))
-            if m and _plausible(m[0].decode("utf-8", "replace")):
-                return -1, token
+        for c, back, _, ask in steps(self.model, token):
+            then = seen.get(shape(back), 0)
+            if ask == SURE or (own <= self.few and then >= 20 * max(own, 0.5)) or (ask == CLEAR and not own):
+                return c, back
         return 0, token
 
 
+#: What a step asks of the counts: nothing; that the original is by far the more common one; that, or that the token is unseen.
+SURE, COMMON, CLEAR = 0, 1, 2
+
+
+def steps(model: Model, token: str) -> Iterator[tuple[int, str, float, int]]:
+    """(chain's number or -1, restored token, its probability, what it asks of the counts): what a token may be, likeliest first, up to a sure one."""
+    p = scores(model, token)
+    if p[0] < 0.5:
+        for c in np.argsort(-p)[:10]:
+            if not c or p[c] < 0.003:
+                continue
+            chain = CHAINS[c - 1]
+            back = invert(token, chain)
+            if back is None or back == token or not _plausible(back) or re.search("[\x80-\x9f]", back):
+                continue
+            if chain[-1][0] == "utf-8":  # strict decoding of several bytes is evidence of its own
+                if not _obvious(back):
+                    yield int(c), back, float(p[c]), SURE
+                    return
+                continue
+            # one byte for one byte always decodes: the original must be by far the more common one, or the token unseen and the case clear
+            yield int(c), back, float(p[c]), CLEAR if p[0] < 0.02 and TOKEN.search(back) and scores(model, back)[0] > 0.9 else COMMON
+    if _LOST in token:
+        yield -1, token, 1.0, SURE
+        return
+    best = int(np.argmax(p))
+    if best and p[0] < 0.05 and CHAINS[best - 1][-1][0] == "utf-8":  # the chain is clear but bytes were lost
+        back = _tables(CHAINS[best - 1][-1][1])[1]
+        m = _SEQUENCE.search(bytes(back.get(ch, 0) for ch in token))
+        if m and _plausible(m[0].decode("utf-8", "replace")):
+            yield -1, token, 1.0, SURE
+
+
 def fit_sample(rows: DataFrame, text_col: str, limit: int = TRAIN_ROWS) -> Model:
-    """The classifier of a bounded sample: the `limit` rows with the smallest hash of their text."""
-    texts = rows.where(F.length(text_col) > 0).select(F.substring(text_col, 1, TRAIN_CHARS).alias("t")).orderBy(F.xxhash64("t"), "t").limit(limit)
+    """The classifier of a bounded sample: the `limit` distinct texts with the smallest hash."""
+    texts = rows.where(F.length(text_col) > 0).select(F.substring(text_col, 1, TRAIN_CHARS).alias("t")).withColumn("h", F.xxhash64("t"))
+    least = texts.select("h").distinct().orderBy("h").limit(limit)  # so that only the sample's texts are shuffled
+    texts = texts.join(F.broadcast(least), "h").distinct().orderBy("h", "t").limit(limit)
     return train([r.t for r in texts.collect()])
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worker: (key, text) to (key, token, shape, first), a row for each distinct token of a text; first: of its shape in the text."""
+    for b in batches:
+        keys, tokens, shapes, first = [], [], [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            met: set[str] = set()
+            for t in dict.fromkeys(TOKEN.findall(text)):
+                s = shape(t)
+                keys.append(key)
+                tokens.append(t)
+                shapes.append(s)
+                first.append(s not in met)
+                met.add(s)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.string()), pa.array(shapes, pa.string()), pa.array(first, pa.bool_())], ["key", "token", "shape", "first"])
+
+
+def verdicts(pairs: DataFrame, texts: int, model: Model) -> DataFrame:
+    """(token, c, back) of every garbled token of (key, token, shape, first).
+
+    A token's count is the number of other distinct texts that hold its shape, an original's that of all that hold it; both
+    are taken over all texts, of which there are `texts`. Of several originals that are common enough the one with the most
+    texts, weighted by its chain's probability, is taken; without any, the likeliest step.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast(tuple(model))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
+        for b in batches:
+            out = [(t, s, k, c, back, shape(back), p, ask) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, (c, back, p, ask) in enumerate(steps(own, t))]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["token", "shape", "k", "c", "back", "was", "p", "ask"])
+
+    counts = pairs.groupBy("shape").agg(F.sum(F.col("first").cast("long")).alias("n"))
+    may = pairs.select("token", "shape").distinct().mapInArrow(judge, "token string, shape string, k int, c int, back string, was string, p double, ask int")
+    may = may.join(counts.withColumnRenamed("n", "own"), "shape").join(counts.toDF("was", "then"), "was", "left")
+    others, then = F.col("own") - 1, F.coalesce("then", F.lit(0))
+    common = (others <= max(2, RARE * texts)) & (then >= 20 * F.greatest(others, F.lit(0.5)))
+    may = may.where((F.col("ask") == SURE) | common | ((F.col("ask") == CLEAR) & (others == 0)))
+    order = F.struct(F.when((F.col("ask") != SURE) & common, -F.col("p") * then).otherwise(F.lit(0.0)), F.col("k"))
+    return may.groupBy("token").agg(F.min_by(F.struct("c", "back"), order).alias("v")).select("token", "v.c", "v.back")
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worker: (id, text, verdicts of its tokens) to the rows of `garbled_texts`."""
+    for b in batches:
+        out = []
+        for text, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            found: Counter[int] = Counter()
+            to = {v["token"]: (v["c"], v["back"]) for v in known}
+
+            def fix(m: re.Match, found: Counter = found, to: dict = to) -> str:
+                c, back = to.get(m[0], (0, m[0]))
+                if c:
+                    found[c] += 1
+                return back
+
+            restored = TOKEN.sub(fix, text)
+            out.append((sorted(NAMES[c] for c in found if c > 0), sum(found.values()), found[-1] > 0, restored))
+        kinds = (pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["id", "chains", "tokens", "lost", "restored"])
+
+
 def garbled_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """(id, chains, tokens, lost, restored) of every row with garbled characters.
 
     chains are the names of the chains met, tokens the number of garbled tokens, lost tells that some can't be restored in
     full; restored is the text with all tokens put right that decode strictly. Rows that are null, empty or clean don't come
-    out. The fit looks at a bounded sample; every row's whole text is searched.
+    out. The fit looks at a bounded sample; every row's whole text is searched, and each distinct token is judged once, with
+    counts over the whole of all distinct texts.
     """
     model = model or fit_sample(rows, text_col)
-    sent = rows.sparkSession.sparkContext.broadcast(tuple(model))
     kind = dict(rows.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(Model(*sent.value))
-        for b in batches:
-            out = []
-            for i, text in zip(b["id"], b["text"], strict=True):
-                found: Counter[int] = Counter()
-
-                def fix(m: re.Match, found: Counter = found) -> str:
-                    c, back = judge(m[0])
-                    if c:
-                        found[c] += 1
-                    return back
-
-                restored = TOKEN.sub(fix, text)
-                if found:
-                    out.append((i, sorted(NAMES[c] for c in found if c > 0), sum(found.values()), found[-1] > 0, restored))
-            yield pd.DataFrame(out, columns=["id", "chains", "tokens", "lost", "restored"])
-
-    beyond = F.col(text_col).rlike("[^\\x00-\\x7f]")  # the others can't hold a token
-    r = rows.where(beyond).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return r.mapInPandas(run, f"id {kind}, chains array<string>, tokens long, lost boolean, restored string").withColumnRenamed("id", id_col)
+    key = F.unhex(F.sha2("text", 256)).alias("key")
+    r = rows.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = r.select(key).distinct().count()
+    beyond = r.where(F.col("text").rlike("[^\\x00-\\x7f]"))  # the others can't hold a token
+    pairs = written(beyond.select("text").distinct().select(key, "text").mapInArrow(_token_rows, "key binary, token string, shape string, first boolean"))
+    known = pairs.join(verdicts(pairs, texts, model), "token").groupBy("key").agg(F.collect_list(F.struct("token", "c", "back")).alias("known"))
+    found = beyond.withColumn("key", key).join(known, "key").select("id", "text", "known")
+    return found.mapInArrow(_restored, f"id {kind}, chains array<string>, tokens long, lost boolean, restored string").withColumnRenamed("id", id_col)

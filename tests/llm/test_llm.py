@@ -194,3 +194,21 @@ def test_finds_rows(spark, model):
     got = {r.doc_id: r for r in garbled.garbled_texts(df, model=model).collect()}
     assert set(got) == {5, 6, 8, 10} and got[5].restored == "Größe geprüft" and got[6].lost and got[8].restored.endswith(" élève") and got[10].restored == "señal"
     assert garbled.garbled_texts(df.limit(0), model=model).count() == 0
+
+
+def test_verdicts_count_all_texts(spark, model):
+    chain = (("cp1252", "mac_roman"),)
+    bad, other = garbled.garble("Löslichkeit", chain), garbled.garble("Trübung", chain)
+    lone, common = garbled.garble("Lösungsgeschwindigkeit", chain), "Lösungsgeschwindigkeit"
+    rows = [(i, f"{i} the {bad} was") for i in range(400)]  # a word that many texts mean, though the fit didn't see it
+    rows += [(1000 + i, f"x {common} {i} " + "of " * 9000 + f"{i} Trübung") for i in range(60)] + [(2000, f"the {lone} was")]
+    rows += [(3000 + i, f"the same {other} text") for i in range(30)]  # copies of one text count once
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in garbled.garbled_texts(df, model=model).collect()}
+    assert got == {2000: f"the {common} was"} | {3000 + i: "the same Trübung text" for i in range(30)}
+
+
+def test_fit_samples_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(garbled, "train", lambda texts: texts)
+    df = spark.createDataFrame([(f"é {i % 7}",) for i in range(70)] + [("",), (None,)], "text string")
+    assert sorted(garbled.fit_sample(df, "text", 20)) == [f"é {i}" for i in range(7)] and len(garbled.fit_sample(df, "text", 3)) == 3
