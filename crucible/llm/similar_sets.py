@@ -14,12 +14,14 @@ from crucible.operators.text import stripped
 from crucible.runtime import written
 
 _P = 0x100000001B3
+#: Bits of a set's parity bitmap.
+BITS = 512
 
 
 def forest_shape(n: int, threshold: float, recall: float, background: float = 0.07) -> tuple[int, int]:
-    """(depth, trees) of the forest for n sets.
+    """(depth, trees) of the bands for n sets.
 
-    The common prefix deepens until two unrelated sets (similarity `background`) share one in a tree less often than once a
+    The depth grows until two unrelated sets (similarity `background`) share a band in a tree less often than once a
     record; then as many trees are grown as a pair exactly at the threshold needs to meet in at least one with probability
     `recall`. More similar pairs meet in more trees.
     """
@@ -34,7 +36,7 @@ def pieces(text: Column, width: int) -> Column:
 
 
 def _sketches(width: int, depth: int, trees: int, seed: int):
-    """Worker: (tid, text) to (tid, text, size, slots, bits): slots are the hashed tree and signature prefix, one a tree; bits one bit a minhash."""
+    """Worker: (tid, text) to (tid, text, size, slots, bits): slots are the hashed tree and its whole signature, one a tree; bits the parity bitmap of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -44,10 +46,9 @@ def _sketches(width: int, depth: int, trees: int, seed: int):
         fold = rng.integers(1, 1 << 63, depth, dtype=np.uint64) | np.uint64(1)
         tree = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
         powers = np.array([pow(_P, i, 1 << 64) for i in range(width)], np.uint64)
-        words = -(-k // 64)
         for b in batches:
             texts = b.column(1).to_pylist()
-            slots, bits, sizes = np.zeros((len(texts), trees), np.uint64), np.zeros((len(texts), words * 64), np.uint8), np.zeros(len(texts), np.int32)
+            slots, bits, sizes = np.zeros((len(texts), trees), np.uint64), np.zeros((len(texts), BITS), np.uint8), np.zeros(len(texts), np.int32)
             for i, s in enumerate(texts):
                 code = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
                 if len(code) < width:
@@ -64,10 +65,10 @@ def _sketches(width: int, depth: int, trees: int, seed: int):
                     x += add[:, None]
                     np.minimum(least, x.min(axis=1), out=least)
                 slots[i] = ((least.reshape(trees, depth) >> np.uint64(16)) * fold).sum(axis=1) + tree
-                bits[i, :k] = (least >> np.uint64(21)) & np.uint64(1)
+                bits[i] = np.bincount((h >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
                 sizes[i] = len(h)
             packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n).cast(pa.list_(pa.int64())) for v, n in ((slots.view(np.int64), trees), (packed, words))]
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n).cast(pa.list_(pa.int64())) for v, n in ((slots.view(np.int64), trees), (packed, BITS // 64))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *lists], ["tid", "text", "size", "slots", "bits"])
 
     return run
@@ -76,9 +77,10 @@ def _sketches(width: int, depth: int, trees: int, seed: int):
 def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, recall: float = 0.9995, seed: int = 20) -> DataFrame:
     """(x, y, similarity): ids of all pairs of distinct texts (tid, text) whose piece sets have at least that Jaccard similarity.
 
-    Minhash signatures stand in many independent trees; texts that share a prefix of the forest's depth are candidates where
-    their set sizes allow the threshold. One bit of every minhash tells most unrelated candidates apart (the bound lies five
-    standard deviations below what a pair at the threshold has), and the sets themselves decide.
+    Banded minhash: texts that share the whole signature of one of many independent trees are candidates where their set sizes
+    allow the threshold. A pair that shares none is lost, at the threshold one in 1 / (1 - recall). The bits in which two parity
+    bitmaps differ are at most the pieces in which the sets differ, which tells most unrelated candidates apart without loss, and
+    the sets themselves decide.
     """
     depth, trees = forest_shape(texts.count(), threshold, recall)
     s = written(texts.select("tid", "text").mapInArrow(_sketches(width, depth, trees, seed), "tid long, text string, size int, slots array<long>, bits array<long>").where("size > 0"))
@@ -86,11 +88,10 @@ def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, reca
     a, b = leaves.toDF("slot", "x", "m"), leaves.toDF("slot", "y", "n")
     close = (F.col("m") >= F.col("n") * threshold - 1) & (F.col("n") >= F.col("m") * threshold - 1)
     pairs = a.join(b, "slot").where((F.col("x") < F.col("y")) & close).select("x", "y").distinct()
-    k = depth * trees
-    expected = (1 - threshold) / 2
-    most = math.floor(k * expected + 5 * math.sqrt(k * expected * (1 - expected)))
-    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(-(-k // 64))), F.lit(0))
-    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("bits").alias("q")), "y").where(differ <= most).select("x", "y")
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(BITS // 64)), F.lit(0))
+    most = (F.col("m") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6  # pieces in which similar sets can differ
+    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q")), "y")
+    pairs = pairs.where(differ <= most).select("x", "y")
     pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(s.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
     pairs = pairs.select("x", "y", pieces(F.col("s"), width).alias("s"), pieces(F.col("t"), width).alias("t"))
     pairs = pairs.select("x", "y", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))

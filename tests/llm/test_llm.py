@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,17 @@ def test_similar_records(spark):
     assert similar_sets.similar_records(df.limit(0), "id", "smiles").count() == 0
 
 
+def test_bitmaps_differ_at_most_as_the_sets_do():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("CNO(") for _ in range(n)) for n in (6, 6, 7, 9, 20, 80, 80, 400) for _ in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["tid", "text"])
+    rows = next(similar_sets._sketches(6, 3, 40, 20)(iter([batch]))).to_pylist()
+    sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        differ = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(rows[a]["bits"], rows[b]["bits"], strict=True))
+        assert differ <= len(sets[a] ^ sets[b]), (texts[a], texts[b])
+
+
 # --- 6, 7 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello world's <|endoftext|> 12345", "naïve café – 東京 😀​\x85", "a" * 3000, "don't  \n\n x", "été é", "The the THE " * 400, "\x00\x01"]
