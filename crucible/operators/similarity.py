@@ -28,7 +28,8 @@ def distances(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return np.abs(x[:, None, :] - queries[None, :, :]).sum(axis=2)
     if metric == "hamming":
         return (x[:, None, :] != queries[None, :, :]).mean(axis=2)
-    p, a, b = x @ queries.T, (x * x).sum(axis=1)[:, None], (queries * queries).sum(axis=1)[None, :]
+    # not by BLAS, whose last bits depend on a row's place: equal rows must be equally far
+    p, a, b = np.einsum("id,jd->ij", x, queries), (x * x).sum(axis=1)[:, None], (queries * queries).sum(axis=1)[None, :]
     if metric == "euclidean":
         return np.sqrt(np.maximum(a + b - 2 * p, 0))
     if metric == "cosine":
@@ -63,12 +64,16 @@ def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int, metric: str =
                     own = b.iloc[at : at + 4096]
                     d = distances(vectors, np.array(own["v"].tolist(), float), metric)
                     mine = own["id"].to_numpy()
-                    d[mine[:, None] == ids[None, :]] = np.inf
-                    keep = min(k + 8, len(mine))
-                    top = np.argpartition(d, keep - 1, axis=0)[:keep]
-                    # all rows as near as the k-th, so that ties go by id
-                    new = pd.DataFrame({"query": np.tile(ids, keep), "id": mine[top].ravel(), "distance": np.take_along_axis(d, top, 0).ravel()})
-                    new = new[np.isfinite(new["distance"])]
+                    d[(mine[:, None] == ids[None, :]) | ~np.isfinite(d)] = np.inf
+                    keep = min(k, len(mine))
+                    # all rows nearer than the k-th, filled up by the smallest ids of those as near
+                    order = np.argsort(mine, kind="stable")
+                    d, mine = d[order], mine[order]
+                    last = np.partition(d, keep - 1, axis=0)[keep - 1]
+                    tied = d == last
+                    top = (d < last) | (tied & (np.cumsum(tied, axis=0) <= keep - (d < last).sum(axis=0)))
+                    row, col = np.nonzero(top & np.isfinite(d))
+                    new = pd.DataFrame({"query": ids[col], "id": mine[row], "distance": d[row, col]})
                     best = new if best is None else pd.concat([best, new])
                     best = best.sort_values(["query", "distance", "id"]).groupby("query").head(k)
             if best is not None:

@@ -1,6 +1,7 @@
 """Operators on small tables, with nulls, ties, empty tables and clashing names."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,18 @@ def test_nearest(spark):
     assert similarity.nearest(x.limit(0), "id", "v", 1).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "cityblock"])
+def test_nearest_gives_ties_to_the_smallest_ids(spark, metric):
+    vector = lambda i: [3.1, 0.7, 1.9] if i % 3 else [0.3 + i, 4.0, 0.1]
+    ids = list(range(1, 3001))
+    random.Random(6).shuffle(ids)
+    q = spark.createDataFrame([(100, [3.0, 0.7, 2.0])], "id long, v array<double>")
+    for parts in (1, 3):
+        x = spark.createDataFrame([(i, vector(i)) for i in ids], "id long, v array<double>").repartition(parts)
+        got = [r.id for r in similarity.nearest(x, "id", "v", 5, metric, q).orderBy("rank").collect()]
+        assert got == [1, 2, 4, 5, 7]
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a b", [(0, "C", 0.0, 1.0, 2.0, 0), (1, "N", 1.0, 1.0, 2.0, 1)], [(0, 0, 1, 2, 0)], {"k": "v"})], f"name string, atoms {readers.ATOM}, bonds {readers.BOND}, props map<string,string>")
     writers.write_sdf(df.union(df), str(tmp_path / "x.sdf"))
