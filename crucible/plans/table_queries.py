@@ -212,8 +212,9 @@ def dbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def umap_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of the query set, fuzzy weights, union of both directions."""
-    return S.fuzzy_union(G.smooth_knn(S.nearest(_vectors(spark, d), "id", "x", 15), 15))
+    """Neighbours of all rows, fuzzy weights, union of both directions."""
+    x = _vectors(spark, d)
+    return S.fuzzy_union(G.smooth_knn(S.nearest(x, "id", "x", 15, queries=x), 15))
 
 
 def qsar_regression(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,21 @@ def test_nearest_gives_ties_to_the_smallest_ids(spark, metric):
         assert got == [1, 2, 4, 5, 7]
 
 
+def test_umap_edges_join_all_rows(spark, tmp_path):
+    from crucible.plans import table_queries
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4))
+    spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    w = {(r.i, r.j): r.w for r in table_queries.umap_edges(spark, str(tmp_path)).collect()}
+    assert {i for i, _ in w} == set(range(1, 61)) and all(w[j, i] == pytest.approx(v) for (i, j), v in w.items())
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    near = {(i + 1, int(j) + 1) for i in range(60) for j in np.argsort(d[i])[1:16]}
+    assert set(w) == near | {(j, i) for i, j in near}
+    mutual = [(i, j) for i, j in near if (j, i) in near and d[i - 1, j - 1] == d[i - 1][d[i - 1] > 0].min()]
+    assert mutual and all(w[p] == pytest.approx(1.0) for p in mutual)
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a b", [(0, "C", 0.0, 1.0, 2.0, 0), (1, "N", 1.0, 1.0, 2.0, 1)], [(0, 0, 1, 2, 0)], {"k": "v"})], f"name string, atoms {readers.ATOM}, bonds {readers.BOND}, props map<string,string>")
     writers.write_sdf(df.union(df), str(tmp_path / "x.sdf"))
