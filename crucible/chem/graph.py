@@ -11,6 +11,7 @@ from collections import deque
 import numpy as np
 
 from crucible.chem.elements import MASS
+from crucible.chem.matching import maximum_matching
 from crucible.chem.smiles import SmilesError, read, total_hydrogens
 
 RING_CAP = 20
@@ -43,7 +44,7 @@ class Molecule:
         self.hyb = [self._hybrid(i) for i in range(self.n)]
 
     def _kekulise(self, g) -> None:
-        """Double bonds between aromatic atoms: a matching of all atoms that need one, by augmenting paths."""
+        """Double bonds between aromatic atoms: a maximum matching of the atoms that need one; all must be met."""
         if not any(g.aromatic):
             return
         links: list[list[int]] = [[] for _ in range(self.n)]
@@ -65,42 +66,16 @@ class Molecule:
                 return self.charge[i] > 0 and used <= 2
             return s == "B" and used <= 2
 
-        need = [bool(links[i]) and needs(i) for i in range(self.n)]
-        mate = [-1] * self.n
-
-        # neighbours first, then augmenting paths
-        for i in range(self.n):
-            if need[i] and mate[i] < 0:
-                j = next((j for j in links[i] if need[j] and mate[j] < 0), None)
-                if j is not None:
-                    mate[i], mate[j] = j, i
-        for i in range(self.n):
-            if need[i] and mate[i] < 0 and not self._extend(i, links, need, mate):
-                raise SmilesError("no Kekulé structure")
-        for k, (a, b) in enumerate(self.ends):
-            if mate[a] == b:
+        need = [i for i in range(self.n) if links[i] and needs(i)]
+        at = {i: k for k, i in enumerate(need)}
+        mate = maximum_matching([[at[j] for j in links[i] if j in at] for i in need])
+        if -1 in mate:
+            raise SmilesError("no Kekulé structure")
+        pairs = {(need[k], need[m]) for k, m in enumerate(mate)}
+        for k, e in enumerate(self.ends):
+            if e in pairs:
                 self.order[k] = 2
 
-    @staticmethod
-    def _extend(root: int, links, need, mate) -> bool:
-        """Depth-first search for an alternating path from a free atom to another; exact for graphs of this kind."""
-        stack = [(root, (root,))]
-        tried = 0
-        while stack and tried < 20_000:
-            i, path = stack.pop()
-            tried += 1
-            for j in links[i]:
-                if not need[j] or j in path:
-                    continue
-                if mate[j] < 0:
-                    full = (*path, j)
-                    for k in range(0, len(full), 2):
-                        mate[full[k]], mate[full[k + 1]] = full[k + 1], full[k]
-                    return True
-                if mate[j] not in path:
-                    stack.append((mate[j], (*path, j, mate[j])))
-        return False
-
     def _components(self) -> list[int]:
         out = [-1] * self.n
         for s in range(self.n):

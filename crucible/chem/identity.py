@@ -4,22 +4,26 @@ Equality is that of the largest fragment's heavy-atom skeleton with the hydrogen
 gain or loss of hydrogen are undone; stereo marks, isotopes and map numbers don't count. Bond orders don't enter: the
 hydrogens of the atoms fix them up to resonance, so Kekulé and aromatic writing agree.
 
-The key is a 128-bit hash of a colour refinement that starts from (element, hydrogens, charge, closed walks of length 3 to 8
-through the atom). The closed walks tell apart skeletons that plain refinement can't (rings of other sizes). A batch of
-molecules is refined at once in NumPy. Nothing in a key depends on the other molecules of a batch.
+The key is exact up to collisions of a 128-bit hash, at every size. Atoms start with (element, hydrogens, charge) as colour and
+are refined by their neighbours' colours until no class splits. Where the stable colouring meets the known conditions under
+which refinement tells a graph from every other one (Arvind, Koebler, Rattan, Verbitsky: On the Power of Color Refinement),
+its colours are the key. Else every atom of the smallest class is singled out in turn, refined again, and the least outcome
+counts; branches that an earlier one already covers by symmetry are left out. A batch of molecules is refined at once in
+NumPy. Nothing in a key depends on the other molecules of a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 
 from crucible.chem.elements import Z_OF
 from crucible.chem.smiles import Graph, SmilesError, read, total_hydrogens
 
-#: Closed walks are counted for skeletons up to this size (a dense matrix is needed); above it refinement alone is used.
-WALK_ATOMS = 400
+#: Atoms of the copies of a molecule that are refined at once when atoms are singled out.
+AT_ONCE = 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,50 +102,220 @@ def skeleton(g: Graph, split: bool) -> list[tuple[list[int], list[tuple[int, int
     return out
 
 
-def _walks(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
-    """Closed walks of length 3 to 8 from each atom."""
-    a = np.zeros((n, n))
-    if pairs:
-        e = np.asarray(pairs)
-        a[e[:, 0], e[:, 1]] = a[e[:, 1], e[:, 0]] = 1
-    a2 = a @ a
-    a3, a4 = a2 @ a, a2 @ a2
-    out = np.empty((n, 6))
-    for k, (x, y) in enumerate(((a2, a), (a2, a2), (a2, a3), (a3, a3), (a3, a4), (a4, a4))):
-        np.einsum("ij,ij->i", x, y, out=out[:, k])
-    return out
+class Refined(NamedTuple):
+    """Stable colours of every atom, start of each molecule, whether its colours tell it from any other, and its hash."""
+
+    colour: np.ndarray
+    offset: np.ndarray
+    told: np.ndarray
+    key: list[tuple[int, int]]
+
+
+def _edges(mols: list, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both directions of all bonds over the batch, sorted by their first atom."""
+    count = [len(p) for _, p in mols]
+    flat = np.fromiter((x for _, p in mols for e in p for x in e), np.int64, 2 * sum(count)).reshape(-1, 2) + np.repeat(offset[:-1], count)[:, None]
+    src, dst = np.concatenate((flat[:, 0], flat[:, 1])), np.concatenate((flat[:, 1], flat[:, 0]))
+    order = np.argsort(src, kind="stable")
+    return src[order], dst[order]
+
+
+def _told(cell: np.ndarray, size: np.ndarray, src: np.ndarray, dst: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """By molecule: whether its stable cells meet the conditions. cell and own (molecule) are by atom, size by cell.
+
+    Only cells of several atoms matter. Inside a cell the bonds must be none, all, or one an atom; between two cells none, all,
+    or stars. Cells joined by stars must form trees whose cells don't shrink away from a smallest one, and at most one of a
+    tree's cells, a smallest, may hold bonds that are neither none nor all.
+    """
+    told = np.ones(n, bool)
+    many = (size[cell[src]] > 1) & (size[cell[dst]] > 1)
+    if not many.any():
+        return told
+    pair, first, links = np.unique(cell[src[many]] * len(size) + cell[dst[many]], return_index=True, return_counts=True)
+    a, b = pair // len(size), pair % len(size)
+    mol = own[src[many][first]]
+    per = links // size[a]  # bonds of an atom of a into b
+    back = links // size[b]
+    inside, full = a == b, per == np.where(a == b, size[a] - 1, size[b])
+    told[mol[~full & (per > 1) & (inside | (back > 1))]] = False
+    mixed = set(a[inside & ~full].tolist())
+    star = (~inside & ~full & (a < b)).nonzero()[0]
+    near: dict[int, list[int]] = {}
+    for i in star.tolist():
+        if told[mol[i]]:
+            near.setdefault(int(a[i]), []).append(int(b[i]))
+            near.setdefault(int(b[i]), []).append(int(a[i]))
+    owner = dict(zip(a.tolist(), mol.tolist(), strict=True))
+    seen: set[int] = set()
+    for start in near:
+        if start in seen:
+            continue
+        part, stack, ends = [], [start], 0
+        seen.add(start)
+        while stack:
+            x = stack.pop()
+            part.append(x)
+            ends += len(near[x])
+            for y in near[x]:
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        least, odd = min(size[x] for x in part), [x for x in part if x in mixed]
+        ok = ends == 2 * (len(part) - 1) and len(odd) <= 1 and all(size[x] == least for x in odd)
+        if ok:
+            root = odd[0] if odd else next(x for x in part if size[x] == least)
+            stack = [(root, -1)]
+            while stack and ok:
+                x, via = stack.pop()
+                for y in near[x]:
+                    if y != via:
+                        ok = ok and size[x] <= size[y]
+                        stack.append((y, x))
+        if not ok:
+            told[owner[start]] = False
+    return told
+
+
+def _stable(colour: np.ndarray, offset: np.ndarray, src: np.ndarray, dst: np.ndarray) -> Refined:
+    """Refines until no molecule's classes split; a molecule stops at its own round."""
+    n, sizes = len(offset) - 1, np.diff(offset)
+    own = np.repeat(np.arange(n), sizes)
+    first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, np.int64)
+    rows = src[first]
+    live, classes, rounds = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    cell = np.zeros(len(colour), np.int64)
+    while True:
+        order = np.lexsort((colour, own))
+        c, o = colour[order], own[order]
+        new = np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])]
+        now = np.bincount(o[new], minlength=n)
+        cell[order] = np.cumsum(new) - 1
+        live &= now > classes
+        if not live.any():
+            break
+        classes = np.maximum(classes, now)
+        rounds[live] += np.uint64(1)
+        step = colour * _M3
+        if len(src):
+            step[rows] += np.add.reduceat(_mix(colour[dst], 3), first)
+        colour = np.where(live[own], _mix(step, 4), colour)
+    told = _told(cell, np.bincount(cell), src, dst, own, n)
+    # the last round of a molecule split nothing, so its colours already hold how the classes are joined
+    sums = [np.add.reduceat(_mix(colour, salt), offset[:-1]) for salt in (5, 6)]
+    key = [tuple(map(int, k)) for k in zip(*(_mix(s ^ rounds, 7) for s in sums), strict=True)]
+    return Refined(colour, offset, told, key)
+
+
+def _least_rotation(x: list[int]) -> list[int]:
+    """The smallest of the rotations of a cycle."""
+    n, i, j, k = len(x), 0, 1, 0
+    while i < n and j < n and k < n:
+        a, b = x[(i + k) % n], x[(j + k) % n]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i += k + 1
+        else:
+            j += k + 1
+        if i == j:
+            j += 1
+        k = 0
+    at = min(i, j)
+    return x[at:] + x[:at]
+
+
+def _ring(colour: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Hash of a molecule that is one single ring: the smaller of the least rotations of both directions; None for others."""
+    near: list[list[int]] = [[] for _ in range(len(colour))]
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    if any(len(x) != 2 for x in near):
+        return None
+    way, before = [0], -1
+    while True:
+        at = way[-1]
+        to = near[at][0] if near[at][0] != before else near[at][1]
+        if to == 0:
+            break
+        before = at
+        way.append(to)
+    if len(way) < len(near):
+        return None
+    x = colour[way].tolist()
+    h = np.array(min(_least_rotation(x), _least_rotation(x[::-1])), np.uint64)
+    place = np.arange(len(h), dtype=np.uint64)
+    return tuple(int(np.add.reduce(_mix(h ^ _mix(place, 10), salt))) for salt in (5, 6))
+
+
+def _canonical(colour: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """The least hash over the ways of singling atoms out until the colours tell the molecule from any other."""
+    n = len(colour)
+    ring = _ring(colour, pairs)
+    if ring is not None:
+        return ring
+
+    def children(colour: np.ndarray) -> Refined:
+        """Every atom of the smallest class singled out; ties between classes go by their colour."""
+        values, count = np.unique(colour, return_counts=True)
+        several = count > 1
+        pick = values[several][np.lexsort((values[several], count[several]))[0]]
+        atoms = np.flatnonzero(colour == pick)
+        parts = []
+        step = max(1, AT_ONCE // n)
+        for at in range(0, len(atoms), step):
+            own = atoms[at : at + step]
+            k = len(own)
+            new = np.tile(colour, k)
+            new[np.arange(k) * n + own] = _mix(new[np.arange(k) * n + own], 8)
+            offset = np.arange(k + 1) * n
+            parts.append(_stable(new, offset, *_edges([(None, pairs)] * k, offset)))
+        return Refined(np.concatenate([p.colour for p in parts]), np.arange(len(atoms) + 1) * n, np.concatenate([p.told for p in parts]), [x for p in parts for x in p.key])
+
+    def least(r: Refined) -> list[int]:
+        low = min(r.key)
+        return [i for i, k in enumerate(r.key) if k == low]
+
+    def leftmost(colour: np.ndarray, key: tuple[int, int], told: bool) -> tuple[int, int]:
+        while not told:
+            r = children(colour)
+            i = least(r)[0]
+            colour, key, told = r.colour[i * n : (i + 1) * n], r.key[i], bool(r.told[i])
+        return key
+
+    def search(colour: np.ndarray) -> tuple[int, int]:
+        r = children(colour)
+        best, met = None, set()
+        for i in least(r):
+            own = r.colour[i * n : (i + 1) * n]
+            if r.told[i]:
+                found = r.key[i]
+            else:
+                end = leftmost(own, r.key[i], False)
+                if end in met:  # the same end on the same way: a symmetry maps this branch to one that was searched
+                    continue
+                met.add(end)
+                found = search(own)
+            best = found if best is None else min(best, found)
+        return best
+
+    return search(colour)
 
 
 def _refine(mols: list[tuple[list[int], list[tuple[int, int]]]]) -> list[str]:
-    """Hash of each skeleton."""
+    """Key of each skeleton."""
     sizes = np.array([len(c) for c, _ in mols])
-    rounds = (int(sizes.max()) + 1) // 2
     offset = np.concatenate(([0], np.cumsum(sizes)))
-    colour = np.array([x for c, _ in mols for x in c], np.uint64)
-    colour = _mix(colour, 1)
-    walk = np.concatenate([_walks(len(c), p) if len(c) <= WALK_ATOMS else np.zeros((len(c), 6)) for c, p in mols]).astype(np.uint64)
-    for k in range(6):
-        colour = _mix(colour ^ walk[:, k], 2)
-    flat = np.array([(a + o, b + o) for (_, p), o in zip(mols, offset, strict=False) for a, b in p], np.int64).reshape(-1, 2)
-    src = np.concatenate((flat[:, 0], flat[:, 1]))
-    dst = np.concatenate((flat[:, 1], flat[:, 0]))
-    order = np.argsort(src, kind="stable")
-    src, dst = src[order], dst[order]
-    own = np.repeat(np.arange(len(mols)), sizes)
-    if len(src):
-        first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
-        rows = src[first]
-    for k in range(rounds):
-        new = colour * _M3
-        if len(src):
-            new[rows] += np.add.reduceat(_mix(colour[dst], 3), first)
-        new = _mix(new, 4)
-        live = k < (sizes[own] + 1) // 2  # a molecule's own number of rounds
-        colour = np.where(live, new, colour)
+    colour = _mix(np.fromiter((x for c, _ in mols for x in c), np.uint64, int(offset[-1])), 1)
+    r = _stable(colour, offset, *_edges(mols, offset))
     out = []
-    for salt in (5, 6):
-        out.append(np.add.reduceat(_mix(colour, salt), offset[:-1]))
-    return [f"{n}:{x:016x}{y:016x}" for n, x, y in zip(sizes, out[0], out[1], strict=True)]
+    for i, (n, key) in enumerate(zip(sizes, r.key, strict=True)):
+        if not r.told[i]:
+            a, b = _canonical(r.colour[offset[i] : offset[i + 1]], mols[i][1])
+            key = int(_mix(np.array([key[0]], np.uint64), 9)[0]) ^ a, key[1] ^ b
+        out.append(f"{n}:{key[0]:016x}{key[1]:016x}")
+    return out
 
 
 def molecule_keys(texts: Sequence[str | None]) -> list[str | None]:

@@ -16,7 +16,7 @@ class SmilesError(ValueError):
     pass
 
 
-_TOKEN = re.compile(r"\[([^\[\]]*)\]|(Cl|Br|[BCNOPSFI]|[bcnops]|\*)|([-=#:$/\\~])|(%\d\d|\d)|([().])", re.ASCII)
+_TOKEN = re.compile(r"\[[^\[\]]*\]|Cl|Br|[BCNOPSFIbcnops*]|[-=#:$/\\~().]|%\d\d|\d", re.ASCII)
 _BRACKET = re.compile(
     r"(?P<isotope>\d+)?(?P<symbol>[A-Z][a-z]?|se|as|te|si|[bcnops]|\*)(?P<chiral>@{1,2}(?:[A-Z]{2}\d+)?)?"
     r"(?:H(?P<h>\d*))?(?P<charge>\++\d*|-+\d*)?(?::(?P<map>\d+))?$",
@@ -24,6 +24,7 @@ _BRACKET = re.compile(
 )
 _ORDER = {"-": 1, "=": 2, "#": 3, "$": 4, ":": 1, "/": 1, "\\": 1, "~": 1}
 _AROMATIC = {"b": "B", "c": "C", "n": "N", "o": "O", "p": "P", "s": "S", "se": "Se", "as": "As", "te": "Te", "si": "Si"}
+_PLAIN = {s: (s, False) for s in ("B", "C", "N", "O", "P", "S", "F", "I", "Cl", "Br", "*")} | {s: (_AROMATIC[s], True) for s in "bcnops"}
 
 
 class Graph:
@@ -56,78 +57,77 @@ def _charge(text: str | None) -> int:
     return sign * (int(digits) if digits else len(text))
 
 
+def _bracket(text: str) -> tuple[str, bool, int, int, int, int]:
+    """Symbol, aromatic, isotope, chirality, hydrogens and charge of a bracket's content."""
+    b = _BRACKET.match(text)
+    if b is None:
+        raise SmilesError(f"bracket [{text}]")
+    s = b["symbol"]
+    name, h, mark = _AROMATIC.get(s, s), b["h"], b["chiral"]
+    if name != "*" and name not in Z_OF:
+        raise SmilesError(f"element {name}")
+    return name, s.islower(), int(b["isotope"] or 0), 0 if not mark else 2 if mark.startswith("@@") else 1, 0 if h is None else int(h or 1), _charge(b["charge"])
+
+
 def read(text: str) -> Graph:
     """The graph of one SMILES; outer and inner white space is dropped."""
     text = "".join(text.split())
     if not text:
         raise SmilesError("empty")
+    tokens = _TOKEN.findall(text)
+    if sum(map(len, tokens)) != len(text):
+        raise SmilesError("unexpected character")
     g = Graph()
-    symbol, charge, isotope, hydrogens, aromatic, chiral, bonds = g.symbol, g.charge, g.isotope, g.hydrogens, g.aromatic, g.chiral, g.bonds
-    last, pending, stack, rings, at, dot = -1, "", [], {}, 0, False
-    for m in _TOKEN.finditer(text):
-        if m.start() != at:
-            raise SmilesError(f"unexpected character at {at}")
-        at = m.end()
-        kind = m.lastindex
-        if kind == 2 or kind == 1:
-            if kind == 2:
-                s = m[2]
-                low = s.islower()
-                symbol.append(_AROMATIC[s] if low else s)
-                charge.append(0), isotope.append(0), hydrogens.append(0 if s == "*" else None), aromatic.append(low), chiral.append(0)
+    symbol, aromatic, bonds = g.symbol, g.aromatic, g.bonds
+    special: dict[int, tuple] = {}
+    last, pending, stack, rings, dot, n = -1, "", [], {}, False, 0
+    for t in tokens:
+        if t in _PLAIN or t[0] == "[":
+            if t in _PLAIN:
+                s, low = _PLAIN[t]
             else:
-                b = _BRACKET.match(m[1])
-                if b is None:
-                    raise SmilesError(f"bracket [{m[1]}]")
-                s = b["symbol"]
-                low = s.islower()
-                name = _AROMATIC.get(s, s)
-                if name != "*" and name not in Z_OF:
-                    raise SmilesError(f"element {name}")
-                h = b["h"]
-                symbol.append(name), charge.append(_charge(b["charge"])), isotope.append(int(b["isotope"] or 0))
-                hydrogens.append(0 if h is None else int(h or 1)), aromatic.append(low)
-                chiral.append(0 if not b["chiral"] else 2 if b["chiral"].startswith("@@") else 1)
-            new = len(symbol) - 1
+                s, low, *special[n] = _bracket(t[1:-1])
+            symbol.append(s)
+            aromatic.append(low)
             if last >= 0 and not dot:
-                bonds.append((last, new, _ORDER[pending] if pending else 1, (aromatic[last] and aromatic[new] and not pending) or pending == ":", pending if pending in "/\\" else ""))
+                if pending:
+                    bonds.append((last, n, _ORDER[pending], pending == ":", pending if pending in "/\\" else ""))
+                    pending = ""
+                else:
+                    bonds.append((last, n, 1, low and aromatic[last], ""))
             elif pending:
                 raise SmilesError("bond to nothing")
-            last, pending, dot = new, "", False
-        elif kind == 3:
+            last, dot = n, False
+            n += 1
+        elif t == "(":
+            if last < 0:
+                raise SmilesError("branch before an atom")
+            stack.append(last)
+        elif t == ")":
+            if not stack or pending:
+                raise SmilesError("unbalanced branch")
+            last = stack.pop()
+        elif t in _ORDER:
             if pending or last < 0:
                 raise SmilesError("two bond symbols")
-            pending = m[3]
-        elif kind == 4:
+            pending = t
+        elif t == ".":
+            if pending:
+                raise SmilesError("bond before a dot")
+            dot = True
+        else:
             if last < 0:
                 raise SmilesError("ring digit before an atom")
-            n = m[4].lstrip("%")
-            n = int(n)
-            if n in rings:
-                other, mark = rings.pop(n)
+            k = int(t.lstrip("%"))
+            if k in rings:
+                other, mark = rings.pop(k)
                 mark = pending or mark
                 if other == last:
                     raise SmilesError("ring bond to itself")
                 bonds.append((other, last, _ORDER[mark] if mark else 1, (aromatic[other] and aromatic[last] and not mark) or mark == ":", ""))
             else:
-                rings[n] = (last, pending)
+                rings[k] = (last, pending)
             pending = ""
-        else:
-            c = m[5]
-            if c == "(":
-                if last < 0:
-                    raise SmilesError("branch before an atom")
-                stack.append(last)
-            elif c == ")":
-                if not stack or pending:
-                    raise SmilesError("unbalanced branch")
-                last = stack.pop()
-            else:
-                if pending:
-                    raise SmilesError("bond before a dot")
-                dot = True
-    if at != len(text):
-        raise SmilesError(f"unexpected character at {at}")
     if stack:
         raise SmilesError("unbalanced branch")
     if rings:
@@ -136,6 +136,13 @@ def read(text: str) -> Graph:
         raise SmilesError("ends in a bond")
     if len({(a, b) if a < b else (b, a) for a, b, *_ in bonds}) != len(bonds):
         raise SmilesError("two bonds between a pair")
+    g.charge, g.isotope, g.chiral, g.hydrogens = [0] * n, [0] * n, [0] * n, [None] * n
+    for i, (isotope, chiral, h, charge) in special.items():
+        g.isotope[i], g.chiral[i], g.hydrogens[i], g.charge[i] = isotope, chiral, h, charge
+    if "*" in symbol:
+        for i, s in enumerate(symbol):
+            if s == "*" and g.hydrogens[i] is None:
+                g.hydrogens[i] = 0
     return g
 
 
@@ -152,14 +159,13 @@ def total_hydrogens(g: Graph) -> list[int]:
     for a, b, order, _, _ in g.bonds:
         used[a] += order
         used[b] += order
-    out = []
-    for i, h in enumerate(g.hydrogens):
-        if h is not None:
-            out.append(h)
-            continue
-        s = g.symbol[i]
-        if g.aromatic[i]:
-            out.append(max(0, NORMAL[s][0] - used[i] - 1))
-        else:
-            out.append(next((v - used[i] for v in NORMAL[s] if v >= used[i]), 0))
+    out = list(g.hydrogens)
+    for i, h in enumerate(out):
+        if h is None:
+            room = NORMAL[g.symbol[i]]
+            u = used[i]
+            if g.aromatic[i]:
+                out[i] = max(0, room[0] - u - 1)
+            else:
+                out[i] = room[0] - u if u <= room[0] else next((v - u for v in room if v >= u), 0)
     return out

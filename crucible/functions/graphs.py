@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crucible.chem.matching import maximum_matching
 from crucible.functions.molecules import _each
 
 GRAPH = "struct<connected:boolean,tree:boolean,cycle:boolean,euler:boolean,has_cycle:boolean,components:int,diameter:int,bridges:int,matching:int,symmetry_classes:int,longest_path_ends:int,degrees:array<int>>"
@@ -43,18 +44,8 @@ def _bridges(m) -> int:  # noqa: ANN001
 
 
 def _matching(m) -> int:  # noqa: ANN001
-    """Bonds of a maximum matching, by augmenting paths that don't cross themselves."""
-    mate, size = [-1] * m.n, 0
-    links = [[j for j, _ in x] for x in m.near]
-    for i in range(m.n):
-        if mate[i] < 0:
-            j = next((j for j in links[i] if mate[j] < 0), None)
-            if j is not None:
-                mate[i], mate[j], size = j, i, size + 1
-    for i in range(m.n):
-        if mate[i] < 0 and m._extend(i, links, [True] * m.n, mate):
-            size += 1
-    return size
+    """Bonds of a maximum matching."""
+    return sum(x >= 0 for x in maximum_matching([[j for j, _ in x] for x in m.near])) // 2
 
 
 def properties(m) -> dict:  # noqa: ANN001

@@ -85,3 +85,66 @@ def test_substructures_and_scaffold():
     assert P.path_bits(Molecule("OCC")) == P.path_bits(Molecule("CCO"))
     for s in (ASPIRIN, "C[N+](=O)[O-]", "[13CH4]", "C1CC1C#N.[Na+].[Cl-]", "c1ccc2[nH]ccc2c1", "[P]", "CC(C)(C)C(F)(F)F"):
         assert molecule_keys([P.write_smiles(Molecule(s))]) == molecule_keys([s])
+
+
+def test_identity_is_exact_for_large_rings_and_symmetric_skeletons():
+    for tail in ("", "C" * 387):  # 18 and 405 atoms
+        a, b = molecule_keys([tail + "C12CCCCCCCCC1CCCCCCCC2", tail + "C1CCCCCCCC1C1CCCCCCCC1"])
+        assert a and b and a != b
+    for n in (30, 2000):
+        ring, two = molecule_keys(["C1" + "C" * (n - 2) + "C1", "C1" + "C" * (n - 3) + "C1C"])
+        assert ring != two
+    assert molecule_keys(["C1OCCCCNC1"]) == molecule_keys(["N1CCCCOCC1"]) != molecule_keys(["C1OCCCNCC1"])
+
+
+def test_identity_does_not_depend_on_the_order_of_atoms():
+    import random
+
+    from crucible.chem import identity as I
+
+    rng = random.Random(4)
+    cubane, star = "C12C3C4C1C5C2C3C45", "c1ccc(cc1)-c1c(-c2ccccc2)c(-c2ccccc2)c(-c2ccccc2)c(-c2ccccc2)c1-c1ccccc1"
+    for s in (cubane, star, "Cc1ccc(C)cc1", "C1CC2CCC1CC2", "FC(F)(F)C(C(F)(F)F)C(F)(F)F", "C1CCCCCCCCC1", "C1CC1C1CC1", ASPIRIN):
+        code, pairs = I.skeleton(read(s), False)[0]
+        for _ in range(4):
+            to = list(range(len(code)))
+            rng.shuffle(to)
+            moved = [0] * len(code)
+            for i, x in enumerate(code):
+                moved[to[i]] = x
+            assert I._refine([(moved, rng.sample([(to[a], to[b]) for a, b in pairs], len(pairs)))]) == I._refine([(code, pairs)]), s
+
+
+def test_identity_tells_all_small_cubic_graphs_apart():
+    import itertools
+
+    from crucible.chem import identity as I
+
+    def isomorphic(p, q):
+        q = {frozenset(e) for e in q}
+        return any(all(frozenset((w[a], w[b])) in q for a, b in p) for w in itertools.permutations(range(6)))
+
+    edges = list(itertools.combinations(range(6), 2))
+    graphs = [g for k in (6, 7) for g in itertools.combinations(edges, k) if len({v for e in g for v in e}) == 6][::97]
+    keys = [I._refine([([7] * 6, list(g))])[0] for g in graphs]
+    for (i, g), (j, h) in itertools.combinations(list(enumerate(graphs))[:40], 2):
+        assert (keys[i] == keys[j]) == (len(g) == len(h) and isomorphic(g, h)), (g, h)
+
+
+def test_matching_is_maximum():
+    import itertools
+    import random
+
+    from crucible.chem.matching import maximum_matching
+
+    def best(edges):
+        return max((len(s) for k in range(4, 0, -1) for s in itertools.combinations(edges, k) if len({v for e in s for v in e}) == 2 * len(s)), default=0)
+
+    rng = random.Random(0)
+    for _ in range(150):
+        edges = [e for e in itertools.combinations(range(8), 2) if rng.random() < 0.3]
+        links = [[b if a == i else a for a, b in edges if i in (a, b)] for i in range(8)]
+        mate = maximum_matching(links)
+        assert all(m < 0 or (mate[m] == i and m in links[i]) for i, m in enumerate(mate)) and sum(m >= 0 for m in mate) == 2 * best(edges)
+    path = [[j for j in (i - 1, i + 1) if 0 <= j < 80] for i in range(80)]
+    assert -1 not in maximum_matching(path)
