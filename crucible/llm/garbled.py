@@ -20,8 +20,12 @@ from crucible.runtime import written
 
 #: Rows of the bounded sample that the classifier is fitted on.
 TRAIN_ROWS = 4000
-#: Characters of a row that the fit looks at (whole texts are searched afterwards).
-TRAIN_CHARS = 20_000
+#: Distinct tokens of these rows' whole texts that reach the fit, those with the smallest hashes.
+TRAIN_TOKENS = 200_000
+#: A run of characters longer than LONG is looked at in windows of WINDOW characters that overlap by half.
+LONG, WINDOW = 192, 64
+#: Characters at a window's ends that may belong to a sequence cut in two.
+EDGE = 6
 #: Hashed features of a token.
 FEATURES = 1 << 14
 #: A token in more than this share of the texts isn't taken for one garbled byte for byte.
@@ -51,6 +55,8 @@ NAMES = ("clean", *(" > ".join(f"{w} as {r}" for w, r in c) for c in CHAINS))
 #: A token: characters other than ASCII white space, CJK and emoji, at least one of them beyond ASCII.
 _OWN = "\x21-\x7e\x80-⹿ꀀ-꯿-ﬀ-﷿ﹰ-﻾￰-￿"
 TOKEN = re.compile(f"[{_OWN}]*[\x80-⹿ꀀ-꯿-ﬀ-﷿ﹰ-﻾￰-￿][{_OWN}]*")
+#: What a run without white space is made of where several writings meet: without letters of other scripts, or without Latin ones.
+_PARTS = tuple(re.compile(f"[^{other}]*[^\x00-\x7f{other}][^{other}]*") for other in ("Ͱ-ԯ֐-῿Ⰰ-ⷿꙀ-꭯", "À-ɏ"))
 _LOST = "�"
 _ROWS = "rows"  # no token: it has no character beyond ASCII
 
@@ -67,6 +73,31 @@ def _tables(codec: str) -> tuple[list[str], dict[str, int]]:
     return to, {c: b for b, c in enumerate(to)}
 
 
+def token_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every token, in order of their start.
+
+    A run of at most LONG characters is one token. A longer one is cut where letters of other scripts begin and, a second
+    time, where accented Latin ones do; parts of over WINDOW characters come in windows, so that tokens overlap and every
+    place of a text of any length lies in some.
+    """
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        if b - a <= LONG:
+            yield a, b
+            continue
+        spans = set()
+        for part in _PARTS:
+            for x in part.finditer(text, a, b):
+                lo, hi = x.span()
+                if hi - lo <= WINDOW:
+                    spans.add((lo, hi))
+                else:
+                    spans |= {(k, min(k + WINDOW, hi)) for k in range(lo, hi - WINDOW // 2, WINDOW // 2)}
+        for lo, hi in sorted(spans):
+            if TOKEN.fullmatch(text, lo, hi):
+                yield lo, hi
+
+
 def garble(text: str, chain: tuple) -> str | None:
     """What becomes of a text; None where it can't be written in the chain's encodings."""
     for written, read in chain:
@@ -125,7 +156,7 @@ def features(token: str) -> np.ndarray:
     m = re.search("[^\x00-\x7f]", token)
     last = max(i for i, c in enumerate(token) if ord(c) > 127) if m else 0
     data = b"\x02" + token[max(0, (m.start() if m else 0) - 4) : last + 5].encode() + b"\x03"
-    b = np.frombuffer(data[:4096], np.uint8).astype(np.int64)
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
     pair = b[:-1] * 256 + b[1:]
     return np.unique((pair * 2654435761 >> 7) % FEATURES)
 
@@ -188,20 +219,28 @@ def shape(token: str) -> str:
     return re.sub("[0-9]+", "0", token)
 
 
-def train(texts: list[str], rounds: int = 2) -> Model:
-    """Fits on tokens of the texts taken as clean and on what each chain makes of them.
+#: CJK and emoji stand in no token but are what chains garble.
+_OTHER = re.compile("[⺀-鿿가-힯＀-￯\U0001f000-\U0001faff]{1,12}")
+
+
+def token_counts(texts: list[str]) -> Counter[str]:
+    """How often each token shape, and each short run of CJK or emoji, stands in the texts."""
+    counts: Counter[str] = Counter()
+    for t in texts:
+        counts.update(shape(t[a:b]) for a, b in token_spans(t))
+        counts.update(_OTHER.findall(t))
+    return counts
+
+
+def train(counts: Counter[str], texts: int, rounds: int = 2) -> Model:
+    """Fits on tokens taken as clean and on what each chain makes of them; counts are those of `token_counts` over `texts` texts.
 
     Tokens that are plainly garbled, or that a chain leads from to a far more common token, are left out; tokens that the
     first fit holds for garbled are left out of the second.
     """
-    counts: Counter[str] = Counter()
-    for t in texts:
-        counts.update(shape(x) for x in TOKEN.findall(t))
-    seen = dict(counts) | {_ROWS: len(texts)}
-    # CJK and emoji stand in no token but are what chains garble
-    for t in texts:
-        counts.update(re.findall("[⺀-鿿가-힯＀-￯\U0001f000-\U0001faff]{1,12}", t))
-    few = max(2, RARE * len(texts))
+    counts = Counter(counts)
+    seen = {t: n for t, n in counts.items() if TOKEN.fullmatch(t)} | {_ROWS: texts}
+    few = max(2, RARE * texts)
     for t in list(counts):
         # plainly garbled, or a rare token from which a chain leads back to a far more common one
         if _obvious(t) or (counts[t] <= few and any(counts.get(b, 0) >= 20 * counts[t] > 0 for c in CHAINS if (b := invert(t, c)) and b != t)):
@@ -253,6 +292,16 @@ class Judge:
         return 0, token
 
 
+def _invert_inside(token: str, chain: tuple) -> str | None:
+    """As `invert`; a long token may be a window that begins or ends inside a character, so up to EDGE characters may stay at either end as they are."""
+    for cut in range(EDGE + 1):
+        for left in range(cut + 1):
+            back = invert(token[left : len(token) - (cut - left)], chain)
+            if back is not None:
+                return token[:left] + back + token[len(token) - (cut - left) :]
+    return None
+
+
 #: What a step asks of the counts: nothing; that the original is by far the more common one; that, or that the token is unseen.
 SURE, COMMON, CLEAR = 0, 1, 2
 
@@ -261,11 +310,11 @@ def steps(model: Model, token: str) -> Iterator[tuple[int, str, float, int]]:
     """(chain's number or -1, restored token, its probability, what it asks of the counts): what a token may be, likeliest first, up to a sure one."""
     p = scores(model, token)
     if p[0] < 0.5:
-        for c in np.argsort(-p)[:10]:
+        for c in np.argsort(-p):
             if not c or p[c] < 0.003:
                 continue
             chain = CHAINS[c - 1]
-            back = invert(token, chain)
+            back = invert(token, chain) if len(token) < WINDOW // 2 else _invert_inside(token, chain)
             if back is None or back == token or not _plausible(back) or re.search("[\x80-\x9f]", back):
                 continue
             if chain[-1][0] == "utf-8":  # strict decoding of several bytes is evidence of its own
@@ -286,12 +335,20 @@ def steps(model: Model, token: str) -> Iterator[tuple[int, str, float, int]]:
             yield -1, token, 1.0, SURE
 
 
-def fit_sample(rows: DataFrame, text_col: str, limit: int = TRAIN_ROWS) -> Model:
-    """The classifier of a bounded sample: the `limit` distinct texts with the smallest hash."""
-    texts = rows.where(F.length(text_col) > 0).select(F.substring(text_col, 1, TRAIN_CHARS).alias("t")).withColumn("h", F.xxhash64("t"))
+def fit_sample(rows: DataFrame, text_col: str, limit: int = TRAIN_ROWS, tokens: int = TRAIN_TOKENS) -> Model:
+    """The classifier of a bounded sample: the whole of the `limit` distinct texts with the smallest hash, of which `tokens` distinct tokens."""
+    texts = rows.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     least = texts.select("h").distinct().orderBy("h").limit(limit)  # so that only the sample's texts are shuffled
-    texts = texts.join(F.broadcast(least), "h").distinct().orderBy("h", "t").limit(limit)
-    return train([r.t for r in texts.collect()])
+    texts = texts.join(F.broadcast(least), "h").select("t").distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = token_counts(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([b.num_rows] + [0] * (len(own) - 1) if own else [], pa.int64())], ["token", "n", "texts"])
+
+    found = texts.mapInArrow(count, "token string, n long, texts long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    got = found.orderBy(F.xxhash64("token"), "token").limit(tokens).collect()
+    return train(Counter({r.token: r.n for r in got}), sum(r.texts for r in got))
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +357,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tokens, shapes, first = [], [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             met: set[str] = set()
-            for t in dict.fromkeys(TOKEN.findall(text)):
+            for t in dict.fromkeys(text[a:z] for a, z in token_spans(text)):
                 s = shape(t)
                 keys.append(key)
                 tokens.append(t)
@@ -344,13 +401,14 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter[int] = Counter()
             to = {v["token"]: (v["c"], v["back"]) for v in known}
 
-            def fix(m: re.Match, found: Counter = found, to: dict = to) -> str:
-                c, back = to.get(m[0], (0, m[0]))
-                if c:
+            out_text, at = [], 0
+            for a, z in token_spans(text):
+                c, back = to.get(text[a:z], (0, ""))
+                if c and a >= at:  # windows overlap: what an earlier one has put right is left
                     found[c] += 1
-                return back
-
-            restored = TOKEN.sub(fix, text)
+                    out_text += [text[at:a], back]
+                    at = z
+            restored = "".join(out_text) + text[at:]
             out.append((sorted(NAMES[c] for c in found if c > 0), sum(found.values()), found[-1] > 0, restored))
         kinds = (pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["id", "chains", "tokens", "lost", "restored"])

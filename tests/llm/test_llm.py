@@ -179,7 +179,8 @@ def model():
     rng = random.Random(0)
     plain = "the assay was run with and of to at compound".split()
     texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.4 else rng.choice(plain) for _ in range(60)) for _ in range(300)]
-    return garbled.train([t + " √35 ≈ 2 and ¬(x) »y« ¶" * (i % 50 == 0) for i, t in enumerate(texts)])  # signs that are meant
+    texts = [t + " √35 ≈ 2 and ¬(x) »y« ¶" * (i % 50 == 0) for i, t in enumerate(texts)]  # signs that are meant
+    return garbled.train(garbled.token_counts(texts), len(texts))
 
 
 def test_restores_each_chain(model):
@@ -221,6 +222,18 @@ def test_verdicts_count_all_texts(spark, model):
 
 
 def test_fit_samples_distinct_texts(spark, monkeypatch):
-    monkeypatch.setattr(garbled, "train", lambda texts: texts)
-    df = spark.createDataFrame([(f"é {i % 7}",) for i in range(70)] + [("",), (None,)], "text string")
-    assert sorted(garbled.fit_sample(df, "text", 20)) == [f"é {i}" for i in range(7)] and len(garbled.fit_sample(df, "text", 3)) == 3
+    monkeypatch.setattr(garbled, "train", lambda counts, texts: (counts, texts))
+    df = spark.createDataFrame([(f"é {i % 7}é",) for i in range(70)] + [("",), (None,), ("of " * 9000 + "Größe",)], "text string")
+    counts, texts = garbled.fit_sample(df, "text", 20)
+    assert texts == 8 and counts == {"é": 7, "0é": 7, "Größe": 1}  # whole texts, digits as one
+    assert garbled.fit_sample(df, "text", 3)[1] == 3 and len(garbled.fit_sample(df, "text", 20, 2)[0]) == 2
+    assert garbled.fit_sample(df.limit(0), "text") == ({}, 0)
+
+
+def test_finds_places_deep_in_a_run_without_white_space(spark, model):
+    bad, latin = (garbled.garble("температура_плавления", (("utf-8", "cp1252"),)), garbled.garble("Größe", (("utf-8", "cp1252"),)))
+    rows = [(1, "ж" * 3000 + bad), (2, "ж" * 3000), (3, bad + "ж" * 3000), (4, "ж" * 700 + bad + "ж" * 700), (5, "é" * 5000 + bad * 9), (6, "ж" * 2000 + latin + "ж" * 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in garbled.garbled_texts(df, model=model).collect()}
+    assert {1, 3, 4, 5, 6} <= set(got) and 2 not in got and got[6] == "ж" * 2000 + "Größe" + "ж" * 99
+    assert got[1].startswith("ж" * 3000) and "плавления" in got[1] and "плавления" in got[4]
