@@ -15,10 +15,12 @@ from crucible.operators.text import blank_to_null
 from crucible.runtime import written
 
 SPLITS = ("train", "valid", "test")
-#: A component with at least this share of all records is placed before the search; there can be at most its inverse of them.
-LARGE = 1e-3
-#: Components that one annealing task searches over.
-BLOCK = 20_000
+#: Components that one annealing task searches over, at most about.
+BLOCK = 10_000
+#: A size class (sizes within a factor of two) with fewer components than this is searched with the other such classes.
+FEW = 64
+#: Steps of a chain for each component of its block.
+SWEEPS = 4
 
 
 def related_groups(rows: DataFrame, id_col: str = "record_id", text_col: str = "smiles", ref_cols: tuple = ("doc_ref",)) -> DataFrame:
@@ -99,52 +101,84 @@ def _hashed(ids: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(np.cumsum(shares), u, side="right"), len(shares) - 1)
 
 
+def _chain(pdf: pd.DataFrame, cols: list[str], part: np.ndarray, label_part: np.ndarray, chain: int, seed: int, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """One annealing chain over the components of a block, towards `part` of its rows a split and `label_part` of its rows a split and label."""
+    sizes, lab = pdf["n"].to_numpy(float), pdf[cols].to_numpy(float)
+    want, label_want = part * sizes.sum(), label_part * lab.sum(axis=0)
+    if start is None:
+        start = _hashed(pdf["component"].to_numpy() + chain, part)
+    return anneal(sizes, lab, want, label_want, start, SWEEPS * len(pdf) + 200, seed + chain)
+
+
+def _shares(wanted: np.ndarray) -> np.ndarray:
+    """Columns scaled to a sum of 1, equal parts where there is nothing."""
+    w = np.maximum(wanted, 0)
+    total = w.sum(axis=0)
+    return np.where(total > 0, w / np.where(total > 0, total, 1), 1 / len(w))
+
+
 def grouped_split(
-    rows: DataFrame, id_col: str = "record_id", label_col: str = "source", shares: tuple = (0.8, 0.1, 0.1), splits: tuple = SPLITS, groups: DataFrame | None = None, chains: int = 3, steps: int = 40_000, seed: int = 11, label_bins: int = 16, **kw
+    rows: DataFrame, id_col: str = "record_id", label_col: str = "source", shares: tuple = (0.8, 0.1, 0.1), splits: tuple = SPLITS, groups: DataFrame | None = None, chains: int = 3, rounds: int = 2, seed: int = 11, label_bins: int = 16, **kw
 ) -> DataFrame:
     """(id, component, new_split): a split of nearly the given shares with every group of related records in one split.
 
-    Components of at least `LARGE` of all records, a bounded number, are placed first, largest into the emptiest split. The
-    others are hashed into blocks; each block starts from a hashed assignment and is annealed by several chains in parallel
-    towards its part of what is left of sizes and label counts, and the best chain's assignment is kept. Labels are hashed
-    into `label_bins` classes; a null label is a class of its own. Ids must be unique; an empty table gives an empty result.
+    Components are classed by size within a factor of two. Classes of fewer than FEW components, under 64 * FEW components
+    together, are annealed first on the driver, starting from largest into the emptiest split. The others are hashed into
+    blocks within their class, so that no block holds one component that outweighs it; each block starts from a hashed
+    assignment and is annealed by several chains, a task a block and chain, towards its part of what is left of sizes and
+    label counts, and the best chain's assignment is kept. Further rounds deal the components into other blocks and start from
+    what they have. Labels are hashed into `label_bins` classes; a null label is a class of its own. Ids must be unique; an
+    empty table gives an empty result.
     """
     g = groups if groups is not None else related_groups(rows, id_col, **kw)
     k = len(splits)
     label = F.when(F.col(label_col).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(label_col)), F.lit(label_bins - 1))).cast("int")
     g = written(rows.select(F.col(id_col).alias("id"), label.alias("label")).join(g, "id"))
-    comps = written(g.groupBy("component").agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == i).alias(f"l{i}") for i in range(label_bins)]))
     cols = [f"l{i}" for i in range(label_bins)]
-    sums = comps.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in cols]).first()
-    total, count, labels = int(sums[0]), int(sums[1]), np.array(sums[2:], float)
+    comps = g.groupBy("component").agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == i).alias(c) for i, c in enumerate(cols)])
+    comps = written(comps.withColumn("class", F.floor(F.log2("n")).cast("int")))
+    classes = comps.groupBy("class").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols]).collect()  # at most 64 rows
+    total, labels = sum(r.n for r in classes), np.array([sum(r[c] for r in classes) for c in cols], float)
     share = np.array(shares, float) / sum(shares)
-    bound = max(2.0, LARGE * total)
     target, label_target = share * total, share[:, None] * labels[None, :]
-    large = []
-    for row in comps.where(F.col("n") >= bound).orderBy(F.desc("n"), "component").collect():  # at most 1 / LARGE rows
-        to = int(np.argmax(target))  # the split that lacks most records
-        target[to] -= row.n
-        label_target[to] -= np.array([row[c] for c in cols], float)
-        large.append((row.component, splits[to]))
-    rest = max(1.0, total - sum(share * total - target))
-    part, label_part = np.maximum(target, 0) / rest, np.maximum(label_target, 0) / rest
-    blocks = max(1, -(-count // BLOCK))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component")
-        sizes, lab = pdf["n"].to_numpy(float), pdf[cols].to_numpy(float)
-        want = part / max(part.sum(), 1e-12) * sizes.sum()
-        label_want = label_part / np.maximum(label_part.sum(axis=0), 1e-12) * lab.sum(axis=0)
-        ids = pdf["component"].to_numpy()
-        found = [anneal(sizes, lab, want, label_want, _hashed(ids + c, part / max(part.sum(), 1e-12)), steps, seed + c) for c in range(chains)]
-        best = min(found, key=lambda x: x[1])[0]
-        return pd.DataFrame({"component": ids, "new_split": np.array(splits, object)[best]})
-
-    small = comps.where(F.col("n") < bound).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)))
-    placed = small.groupBy("block").applyInPandas(search, "component long, new_split string")
+    few = [r["class"] for r in classes if r.comps < FEW]
     spark = rows.sparkSession
-    placed = placed.union(spark.createDataFrame(large, "component long, new_split string"))
-    return g.select(F.col("id").alias(id_col), "component").join(placed, "component").select(id_col, "component", "new_split")
+    large = comps.where(F.col("class").isin(few)).orderBy(F.desc("n"), "component").toPandas() if few else None
+    schema = "component long, to int"
+    placed = spark.createDataFrame([], schema)
+    if large is not None:
+        left, start = target.copy(), np.zeros(len(large), int)
+        for i, n in enumerate(large["n"]):
+            start[i] = int(np.argmax(left))  # the split that lacks most records
+            left[start[i]] -= n
+        where, _ = min((_chain(large, cols, share, np.repeat(share[:, None], label_bins, 1), c, seed, start) for c in range(chains)), key=lambda x: x[1])
+        np.subtract.at(target, where, large["n"].to_numpy(float))
+        np.subtract.at(label_target, where, large[cols].to_numpy(float))
+        placed = spark.createDataFrame([(int(c), int(w)) for c, w in zip(large["component"], where, strict=True)], schema)
+    part, label_part = _shares(target), _shares(label_target)
+    many = [r for r in classes if r.comps >= FEW]
+    names = F.array(*[F.lit(s) for s in splits])
+    if many:
+        blocks = F.create_map(*[F.lit(x) for r in many for x in (r["class"], -(-r.comps // BLOCK))])
+        state = comps.where(~F.col("class").isin(few) if few else F.lit(True)).drop("to")
+        def searcher(turn: int):  # noqa: ANN202
+            def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values("component")
+                start = pdf["to"].to_numpy() if turn else None
+                where, cost = _chain(pdf, cols, part, label_part, int(key[2]), seed + 1000 * turn, start)
+                return pd.DataFrame({"class": [key[0]], "block": [key[1]], "chain": [key[2]], "cost": [cost], "components": [pdf["component"].to_numpy()], "to": [where.astype(np.int32)]})
+
+            return search
+
+        for turn in range(rounds):
+            dealt = state.withColumn("block", F.pmod(F.xxhash64("component", F.lit(turn)), F.element_at(blocks, F.col("class")).cast("long"))).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+            found = dealt.groupBy("class", "block", "chain").applyInPandas(searcher(turn), "class int, block long, chain int, cost double, components array<long>, to array<int>")
+            best = found.groupBy("class", "block").agg(F.min_by(F.struct("components", "to"), F.struct("cost", "chain")).alias("b"))
+            moved = written(best.select(F.inline(F.arrays_zip("b.components", "b.to"))).toDF("component", "to"))
+            state = state.drop("to").join(moved, "component")
+        placed = placed.union(moved)
+    to = placed.select("component", F.get(names, "to").alias("new_split"))
+    return g.select(F.col("id").alias(id_col), "component").join(to, "component").select(id_col, "component", "new_split")
 
 
 def split_report(assigned: DataFrame) -> DataFrame:

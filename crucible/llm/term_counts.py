@@ -17,28 +17,38 @@ from crucible.runtime import written
 SMILES_TERMS = r"\[[^\]]*\]|Br|Cl|%[0-9][0-9]|\S"
 #: Identifiers a block of counts covers.
 RANGE = 1 << 16
-#: Distinct terms up to which the dictionary is sent to the workers; beyond it terms are encoded by a join.
-BROADCAST_TERMS = 500_000
-BROADCAST_BYTES = 32 << 20
 #: Distinct terms that a task holds before it gives out what it has.
 FLUSH = 200_000
 
 
-def dictionary(texts: DataFrame, col: str, pattern: str) -> DataFrame:
-    """(id, term): every distinct term with its place in the sorted order, from 0 without gaps."""
+def block_counts(texts: DataFrame, col: str, pattern: str) -> DataFrame:
+    """(term, occurrences, records): counts of blocks of texts, a row a distinct term of a block; a block ends at FLUSH distinct terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, occurrences, records = re.compile(pattern).findall, Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = list(occurrences)
+            return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "occurrences": pa.array([occurrences[k] for k in keys], pa.int64()), "records": pa.array([records[k] for k in keys], pa.int64())})
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = re.compile(pattern).findall, set()
         for b in batches:
             for s in b.column(0).to_pylist():
-                if s is not None:
-                    seen.update(find(s))
-            if len(seen) > FLUSH:
-                yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string())})
-                seen = set()
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string())})
-
-    terms = texts.select(col).mapInArrow(local, "term string").distinct()
+                if s is None:
+                    continue
+                own = find(s)
+                occurrences.update(own)
+                records.update(set(own))
+                if len(occurrences) > FLUSH:
+                    yield out()
+                    occurrences.clear(), records.clear()
+        yield out()
+
+    return texts.select(col).mapInArrow(run, "term string, occurrences long, records long")
+
+
+def dictionary(counted: DataFrame) -> DataFrame:
+    """(id, term): every distinct term with its place in the sorted order, from 0 without gaps."""
+    terms = counted.select("term").distinct()
     placed = written(terms.repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("at", 33))
     sizes = placed.groupBy("part").count().orderBy("part").collect()  # one row a partition
@@ -50,96 +60,50 @@ def dictionary(texts: DataFrame, col: str, pattern: str) -> DataFrame:
     return placed.join(F.broadcast(first), "part").select((F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), "term")
 
 
-def _arrays(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    """One row a range of identifiers: two arrays of counts, cut after the last that isn't 0."""
-    rows = {"range": [], "occurrences": [], "records": []}
-    for r, a in counts.items():
-        n = int(np.flatnonzero(a[0])[-1]) + 1 if a[0].any() else 0
-        rows["range"].append(r), rows["occurrences"].append(a[0, :n]), rows["records"].append(a[1, :n])
-    return pa.RecordBatch.from_pydict({"range": pa.array(rows["range"], pa.int64()), "occurrences": pa.array(rows["occurrences"], pa.list_(pa.int64())), "records": pa.array(rows["records"], pa.list_(pa.int64()))})
-
-
-_BLOCK = "range long, occurrences array<long>, records array<long>"
+def range_arrays(encoded: DataFrame) -> DataFrame:
+    """(range, occurrences, records): the counts of (id, occurrences, records) rows as two arrays a range of RANGE identifiers.
 
-
-def _add(counts: dict[int, np.ndarray], ids: np.ndarray, occurrences: np.ndarray, records: np.ndarray) -> None:
-    for r in np.unique(ids // RANGE):
-        own = ids // RANGE == r
-        a = counts.setdefault(int(r), np.zeros((2, RANGE), np.int64))
-        np.add.at(a[0], ids[own] % RANGE, occurrences[own])
-        np.add.at(a[1], ids[own] % RANGE, records[own])
-
-
-def count_blocks(texts: DataFrame, col: str, pattern: str, words: DataFrame) -> DataFrame:
-    """Blocks of counts by identifier range, one or a few a task.
-
-    The dictionary goes to the workers when its checked size allows; else each task counts by term first and the terms are
-    encoded by a join of these few rows.
+    The rows of a range meet in one partition, sorted, so a task holds one pair of arrays at a time. A range meets at most
+    RANGE rows a block of texts, however often a term occurs.
     """
-    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()
-    if n <= BROADCAST_TERMS and size <= BROADCAST_BYTES:
-        terms = [r.term for r in words.orderBy("id").collect()]
-        sent = texts.sparkSession.sparkContext.broadcast(terms)
-
-        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, code, counts = re.compile(pattern).findall, {t: i for i, t in enumerate(sent.value)}, {}
-            for b in batches:
-                rows = [[code[t] for t in find(s)] for s in b.column(0).to_pylist() if s is not None]
-                if not any(rows):
-                    continue
-                ids = np.fromiter((i for r in rows for i in r), np.int64)
-                own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-                once = np.unique(own * len(code) + ids) % len(code)  # a term once a record
-                values, occurrences = np.unique(ids, return_counts=True)
-                present = np.unique(once, return_counts=True)[1]
-                _add(counts, values, occurrences, present)
-            yield _arrays(counts)
-
-        return texts.select(col).mapInArrow(encode, _BLOCK)
 
-    def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, occurrences, records = re.compile(pattern).findall, Counter(), Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = -1, None
 
         def out() -> pa.RecordBatch:
-            keys = list(occurrences)
-            return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "o": pa.array([occurrences[k] for k in keys], pa.int64()), "r": pa.array([records[k] for k in keys], pa.int64())})
+            return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int64()), "occurrences": pa.array([sums[0]], pa.list_(pa.int64())), "records": pa.array([sums[1]], pa.list_(pa.int64()))})
 
         for b in batches:
-            for s in b.column(0).to_pylist():
-                if s is not None:
-                    own = find(s)
-                    occurrences.update(own)
-                    records.update(set(own))
-            if len(occurrences) > FLUSH:
-                yield out()
-                occurrences.clear(), records.clear()
-        yield out()
-
-    encoded = texts.select(col).mapInArrow(by_term, "term string, o long, r long").join(words, "term").select("id", "o", "r")
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for b in batches:
-            _add(counts, *(b.column(i).to_numpy() for i in range(3)))
-            if len(counts) > 64:
-                yield _arrays(counts)
-                counts = {}
-        yield _arrays(counts)
-
-    return encoded.mapInArrow(block, _BLOCK)
+            ids, o, r = (b.column(i).to_numpy() for i in range(3))
+            ranges = ids // RANGE
+            cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(ids) else np.zeros(0, int)
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
+                if ranges[lo] != now:
+                    if sums is not None:
+                        yield out()
+                    now, sums = int(ranges[lo]), np.zeros((2, RANGE), np.int64)
+                np.add.at(sums[0], ids[lo:hi] % RANGE, o[lo:hi])
+                np.add.at(sums[1], ids[lo:hi] % RANGE, r[lo:hi])
+        if sums is not None:
+            yield out()
+
+    part = F.floor(F.col("id") / RANGE)
+    return encoded.repartition(part).sortWithinPartitions("id").mapInArrow(run, "range long, occurrences array<long>, records array<long>")
 
 
 def term_frequencies(rows: DataFrame, text_col: str, pattern: str = SMILES_TERMS, min_records: int = 3, max_share: float = 0.8) -> DataFrame:
     """(term, occurrences, records, mark) of every distinct term; mark is 'rare' below min_records records, 'common' above max_share of all, else null.
 
-    All rows given count as records, also those whose text is null or has no term. No rows: no terms.
+    All rows given count as records, also those whose text is null or has no term. No rows: no terms. One plan at every size:
+    blocks of texts are counted by term, the distinct terms make the dictionary, the blocks' rows are encoded by a join and
+    summed into arrays by identifier range.
     """
     texts = rows.select(F.col(text_col).alias("text"))
     n = texts.count()
-    words = written(dictionary(texts, "text", pattern))
-    blocks = count_blocks(texts, "text", pattern, words)
-    # arrays of one range are summed element by element; a range meets at most one row a task
-    cells = blocks.select("range", F.posexplode(F.arrays_zip("occurrences", "records")).alias("at", "c"))
-    total = cells.groupBy((F.col("range") * RANGE + F.col("at")).alias("id")).agg(F.sum("c.occurrences").alias("occurrences"), F.sum("c.records").alias("records"))
+    counted = written(block_counts(texts, "text", pattern))
+    words = written(dictionary(counted))
+    arrays = range_arrays(counted.join(words, "term").select("id", "occurrences", "records"))
+    cells = arrays.select("range", F.posexplode(F.arrays_zip("occurrences", "records")).alias("at", "c")).where("c.occurrences > 0")
+    total = cells.select((F.col("range") * RANGE + F.col("at")).alias("id"), "c.occurrences", "c.records")
     mark = F.when(F.col("records") < min_records, "rare").when(F.col("records") > F.lit(max_share) * F.lit(n), "common")
     return words.join(total, "id").select("term", "occurrences", "records", mark.alias("mark"))

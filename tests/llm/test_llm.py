@@ -49,15 +49,25 @@ def test_split_overlaps(spark):
 # --- 3 ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_term_frequencies(spark, monkeypatch, limit):
-    monkeypatch.setattr(term_counts, "BROADCAST_TERMS", limit)
+@pytest.mark.parametrize("flush", [200_000, 2])
+def test_term_frequencies(spark, monkeypatch, flush):
+    monkeypatch.setattr(term_counts, "FLUSH", flush)
     df = spark.createDataFrame([("CCl[NH3+]%12",), ("C C\t",), (None,), ("",), ("CBr",), ("C[",)], "smiles string").withColumn("term", F.lit("clash"))
     got = {r.term: (r.occurrences, r.records, r.mark) for r in term_counts.term_frequencies(df, "smiles", min_records=2, max_share=0.6).collect()}
     assert got == {"C": (5, 4, "common"), "Cl": (1, 1, "rare"), "[NH3+]": (1, 1, "rare"), "%12": (1, 1, "rare"), "Br": (1, 1, "rare"), "[": (1, 1, "rare")}
     assert term_counts.term_frequencies(df.limit(0), "smiles").count() == 0
 
 
+def test_many_ranges_of_terms(spark, monkeypatch):
+    monkeypatch.setattr(term_counts, "RANGE", 7)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(20)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
+    got = {r.term: (r.occurrences, r.records) for r in term_counts.term_frequencies(df, "t", r"\S+").collect()}
+    words = {w for t in texts for w in t.split()}
+    assert got == {w: (sum(t.split().count(w) for t in texts), sum(w in t.split() for t in texts)) for w in words}
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
@@ -88,7 +98,7 @@ def test_groups_and_split(spark):
     bad = {r.record_id for r in grouped_split.leaking_records(df).collect()}
     split = {r[0]: r[3] and r[3].strip().lower() for r in rows}
     assert bad == {i for g in want.values() for i in g if split[i] and len({split[j] for j in g if split[j]}) > 1}
-    out = grouped_split.grouped_split(df, steps=4000).collect()
+    out = grouped_split.grouped_split(df).collect()
     assert len(out) == len(rows) and all(len({r.new_split for r in out if r.component == c}) == 1 for c in got)
     assert grouped_split.grouped_split(df.limit(0)).count() == 0
 
