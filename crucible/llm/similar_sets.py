@@ -16,86 +16,250 @@ from crucible.runtime import written
 _P = 0x100000001B3
 #: Bits of a set's parity bitmap.
 BITS = 512
+#: Levels of a tree below the shallowest prefix that is compared, and the bits by which each is told apart.
+DEEPER, LEVEL_BITS = 3, 10
+#: Sets of one neighbourhood that a task compares at once; larger neighbourhoods are compared block by block.
+HOT = 2048
 
 
 def forest_shape(n: int, threshold: float, recall: float, background: float = 0.07) -> tuple[int, int]:
-    """(depth, trees) of the bands for n sets.
+    """(shallowest depth, trees) of a forest for n sets.
 
-    The depth grows until two unrelated sets (similarity `background`) share a band in a tree less often than once a
-    record; then as many trees are grown as a pair exactly at the threshold needs to meet in at least one with probability
-    `recall`. More similar pairs meet in more trees.
+    The depth grows until two unrelated sets (similarity `background`) share a prefix in a tree less often than once a
+    record; then as many trees are grown as a pair exactly at the threshold needs to share it in at least one with probability
+    `recall`. More similar pairs share longer prefixes, in more trees.
     """
     depth = max(2, math.ceil(math.log(max(n, 2)) / -math.log(background)))
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
+def met(similarity: Column, depth: int, trees: int) -> Column:
+    """The probability that two sets of that similarity share a prefix of that depth in at least one tree."""
+    return 1 - F.pow(1 - F.pow(similarity, depth), trees)
+
+
 def pieces(text: Column, width: int) -> Column:
     """The distinct substrings of that many characters."""
     n = F.length(text)
     return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers in which every bit depends on every other."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def _piece_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit hashes of each text's pieces, one after the other, and where each text's begin."""
+    lengths = np.array([len(t) for t in texts])
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    own = np.repeat(np.arange(len(texts)), lengths)
+    n = max(0, len(code) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(width):
+        h += code[j : n + j] * np.uint64(pow(_P, j, 1 << 64))
+    inside = own[:n] == own[width - 1 :][:n] if n else np.zeros(0, bool)
+    h, own = h[inside], own[:n][inside]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])] if len(h) else np.zeros(0, bool)
+    h, own = h[new], own[new]
+    return h, np.searchsorted(own, np.arange(len(texts) + 1))
+
+
 def _sketches(width: int, depth: int, trees: int, seed: int):
-    """Worker: (tid, text) to (tid, text, size, slots, bits): slots are the hashed tree and its whole signature, one a tree; bits the parity bitmap of the pieces."""
+    """Worker: (tid, text) to (tid, text, size, heads, tails, bits).
+
+    A tree's signature is a row of mixed minima. heads are the tree and the first `depth` of them, tails the next DEEPER, both
+    packed so that numbers are in the signatures' lexicographic order; bits is the parity bitmap of the pieces.
+    """
+    levels, bits_each = depth + DEEPER, (63 - 10) // depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        k = depth * trees
-        mul = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
-        add = rng.integers(0, 1 << 63, k, dtype=np.uint64)
-        fold = rng.integers(1, 1 << 63, depth, dtype=np.uint64) | np.uint64(1)
-        tree = rng.integers(0, 1 << 63, trees, dtype=np.uint64)
-        powers = np.array([pow(_P, i, 1 << 64) for i in range(width)], np.uint64)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            slots, bits, sizes = np.zeros((len(texts), trees), np.uint64), np.zeros((len(texts), BITS), np.uint8), np.zeros(len(texts), np.int32)
-            for i, s in enumerate(texts):
-                code = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                if len(code) < width:
-                    continue
-                h = np.zeros(len(code) - width + 1, np.uint64)
-                for j in range(width):
-                    h += code[j : len(code) - width + 1 + j] * powers[j]
-                h = np.unique(h)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                least = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):  # a long text in blocks
-                    x = h[None, at : at + 4096] * mul[:, None]
-                    x += add[:, None]
-                    np.minimum(least, x.min(axis=1), out=least)
-                slots[i] = ((least.reshape(trees, depth) >> np.uint64(16)) * fold).sum(axis=1) + tree
-                bits[i] = np.bincount((h >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-                sizes[i] = len(h)
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n).cast(pa.list_(pa.int64())) for v, n in ((slots.view(np.int64), trees), (packed, BITS // 64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *lists], ["tid", "text", "size", "slots", "bits"])
+        k = levels * trees
+        mul = rng.integers(1, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
+        add = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                texts = b.column(1).to_pylist()
+                h, begin = _piece_hashes(texts, width)
+                sizes = np.diff(begin).astype(np.int32)
+                some = np.flatnonzero(sizes)
+                least = np.zeros((k, len(texts)), np.uint32)
+                if len(some):
+                    low = h.astype(np.uint32)
+                    for i in range(k):
+                        least[i, some] = np.minimum.reduceat(low * mul[i] + add[i], begin[some])
+                value = _mix(least).reshape(trees, levels, len(texts)).astype(np.int64)
+                head = np.repeat(np.arange(trees, dtype=np.int64)[:, None], len(texts), axis=1)
+                for j in range(depth):
+                    head = (head << bits_each) | (value[:, j] >> (32 - bits_each))
+                tail = np.zeros_like(head)
+                for j in range(depth, levels):
+                    tail = (tail << LEVEL_BITS) | (value[:, j] >> (32 - LEVEL_BITS))
+                own = np.repeat(np.arange(len(texts)), sizes)
+                count = np.bincount(own * BITS + (h >> np.uint64(40)).astype(np.int64) % BITS, minlength=len(texts) * BITS).reshape(-1, BITS)
+                packed = np.packbits((count & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).ravel(), t), n).cast(pa.list_(t)) for v, n, t in ((head.T, trees, pa.int64()), (tail.T.astype(np.int32), trees, pa.int32()), (packed, BITS // 64, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), *lists], ["tid", "text", "size", "heads", "tails", "bits"])
 
     return run
 
 
+def _lcp(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Levels that two packed tails share before they differ."""
+    x, out, same = p ^ q, np.zeros(len(p), np.int8), np.ones(len(p), bool)
+    for j in range(DEEPER):
+        same = same & (x >> (LEVEL_BITS * (DEEPER - 1 - j)) == 0)
+        out += same
+    return out
+
+
+_NEIGHBOURS = "x long, y long, deeper byte, head long, block int, tids array<long>, sizes array<int>, tails array<int>"
+
+
+def _neighbours(threshold: float):
+    """Worker: leaves (head, tail, tid, size), sorted, to neighbouring pairs (x, y, deeper) and blocks of hot neighbourhoods.
+
+    A neighbourhood is a run of leaves of one head, that is of a common prefix of the shallowest depth. One of more than HOT
+    leaves isn't compared here but given out in blocks.
+    """
+
+    def pairs(tid: np.ndarray, size: np.ndarray, tail: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch | None:
+        ok = (size[i] >= size[j] * threshold - 1) & (size[j] >= size[i] * threshold - 1) & (tid[i] != tid[j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return None
+        n = len(i)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(tid[i], tid[j])), pa.array(np.maximum(tid[i], tid[j])), pa.array(_lcp(tail[i], tail[j])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), *[pa.nulls(n, pa.list_(pa.int32()))] * 2], _NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
+        hot: tuple[int, int] | None = None  # the head whose leaves go out in blocks, and its next block
+
+        def give(head: int, block: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in (cols[2], cols[3], cols[1])]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int8()), pa.array([head]), pa.array([block], pa.int32()), *lists], _NAMES)
+
+        def work(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal hot, rest
+            head, tail, tid, size = cols
+            if not len(head):
+                return
+            cuts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+            ends = np.r_[cuts[1:], len(head)]
+            if not last:  # the last run may go on in the next batch
+                keep = cuts[-1]
+                if hot is not None and head[keep] == hot[0] or len(head) - keep > HOT:
+                    h, block = (int(head[keep]), hot[1] if hot is not None and head[keep] == hot[0] else 0)
+                    while len(head) - keep > HOT:
+                        yield give(h, block, [c[keep : keep + HOT] for c in cols])
+                        block, keep = block + 1, keep + HOT
+                    after = (h, block)
+                else:
+                    after = None
+                rest, cuts, ends = [c[keep:] for c in cols], cuts[:-1], ends[:-1]
+            else:
+                after, rest = None, [c[:0] for c in cols]
+            small = []
+            for lo, hi in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1], strict=True):
+                if hi - lo > HOT or (hot is not None and head[lo] == hot[0]):
+                    block = hot[1] if hot is not None and head[lo] == hot[0] else 0
+                    for at in range(lo, hi, HOT):
+                        yield give(int(head[lo]), block, [c[at : min(at + HOT, hi)] for c in cols])
+                        block += 1
+                else:
+                    small.append(np.arange(lo, hi))
+            if hot is not None and len(cuts) and head[0] == hot[0] and ends[0] - cuts[0] == 1:
+                yield give(int(head[0]), hot[1], [c[:1] for c in cols])
+            hot = after
+            if small:
+                i = np.concatenate(small)
+                k = 1
+                while len(i):  # leaves k places apart in one neighbourhood
+                    i = i[i + k < len(head)]
+                    i = i[head[i + k] == head[i]]
+                    out = pairs(tid, size, tail, i, i + k)
+                    if out is not None:
+                        yield out
+                    k += 1
+
+        for b in batches:
+            yield from work([np.concatenate((r, c)) for r, c in zip(rest, (b.column(j).to_numpy() for j in range(4)), strict=True)], False)
+        yield from work(rest, True)
+
+    return run, pairs
+
+
+_NAMES = [x.split()[0] for x in _NEIGHBOURS.split(", ")]
+
+
+def candidates(leaves: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, deeper): distinct pairs of sets that are neighbours in a tree, with the most levels they share below the shallowest depth.
+
+    Leaves (head, tail, tid, size) of a common prefix meet in one partition, in the order of their signatures. The blocks of a
+    hot neighbourhood are compared with each other by one task a pair of blocks.
+    """
+    run, pairs = _neighbours(threshold)
+    found = written(leaves.repartition("head").sortWithinPartitions("head", "tail").select("head", "tail", "tid", "size").mapInArrow(run, _NEIGHBOURS))
+    near = found.where("head is null").select("x", "y", "deeper")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, *cols in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                p, q = ([np.array(c, t) for c, t in zip(side, (np.int64, np.int32, np.int64), strict=True)] for side in (cols[:3], cols[3:]))
+                tid, size, tail = (np.concatenate(x) for x in zip(p, q, strict=True))
+                n, m = len(p[0]), len(q[0])
+                for r in range(n):
+                    j = np.arange(r + 1, n) if own else n + np.arange(m)
+                    out = pairs(tid, size, tail, np.full(len(j), r), j)
+                    if out is not None:
+                        yield out.select(["x", "y", "deeper"])
+
+    hot = found.where("head is not null").select("head", "block", "tids", "sizes", "tails")
+    other = hot.select("head", F.col("block").alias("b"), *[F.col(c).alias(f"o{c}") for c in ("tids", "sizes", "tails")])
+    tasks = hot.join(other, "head").where("block <= b").select((F.col("block") == F.col("b")).alias("own"), "tids", "sizes", "tails", "otids", "osizes", "otails")
+    near = near.union(tasks.repartition(F.rand(7)).mapInArrow(across, "x long, y long, deeper byte"))
+    return near.groupBy("x", "y").agg(F.max("deeper").alias("deeper"))
+
+
 def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, recall: float = 0.9995, seed: int = 20) -> DataFrame:
     """(x, y, similarity): ids of all pairs of distinct texts (tid, text) whose piece sets have at least that Jaccard similarity.
 
-    Banded minhash: texts that share the whole signature of one of many independent trees are candidates where their set sizes
-    allow the threshold. A pair that shares none is lost, at the threshold one in 1 / (1 - recall). The bits in which two parity
-    bitmaps differ are at most the pieces in which the sets differ, which tells most unrelated candidates apart without loss, and
-    the sets themselves decide.
+    Sorted sketch forest: the minhash signatures of many independent trees are sorted, and neighbours of a common prefix are
+    candidates where their sizes allow the threshold. The bits in which two parity bitmaps differ are at most the pieces in
+    which the sets differ, which tells most unrelated candidates apart without loss. Pairs of the longest common prefixes are
+    verified first, on the exact sets, then those of ever shorter ones, until the recall, estimated from the similarities of
+    the pairs found and their probability to be met so far, reaches `recall`, or the shallowest depth is done, at which a pair
+    exactly at the threshold is met with that probability.
     """
     depth, trees = forest_shape(texts.count(), threshold, recall)
-    s = written(texts.select("tid", "text").mapInArrow(_sketches(width, depth, trees, seed), "tid long, text string, size int, slots array<long>, bits array<long>").where("size > 0"))
-    leaves = s.select(F.explode("slots").alias("slot"), "tid", "size")
-    a, b = leaves.toDF("slot", "x", "m"), leaves.toDF("slot", "y", "n")
-    close = (F.col("m") >= F.col("n") * threshold - 1) & (F.col("n") >= F.col("m") * threshold - 1)
-    pairs = a.join(b, "slot").where((F.col("x") < F.col("y")) & close).select("x", "y").distinct()
+    s = written(texts.select("tid", "text").mapInArrow(_sketches(width, depth, trees, seed), "tid long, text string, size int, heads array<long>, tails array<int>, bits array<long>").where("size > 0"))
+    leaves = s.select(F.inline(F.arrays_zip("heads", "tails")), "tid", "size").toDF("head", "tail", "tid", "size")
+    near = candidates(leaves, threshold)
     differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(BITS // 64)), F.lit(0))
     most = (F.col("m") + F.col("n")) * ((1 - threshold) / (1 + threshold)) + 1e-6  # pieces in which similar sets can differ
-    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q")), "y")
-    pairs = pairs.where(differ <= most).select("x", "y")
-    pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(s.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
-    pairs = pairs.select("x", "y", pieces(F.col("s"), width).alias("s"), pieces(F.col("t"), width).alias("t"))
-    pairs = pairs.select("x", "y", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))
-    return pairs.select("x", "y", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = near.join(s.select(F.col("tid").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q")), "y")
+    near = written(near.where(differ <= most).select("x", "y", "deeper"))
+    found: DataFrame | None = None
+    for deeper in range(DEEPER, -1, -1):
+        pairs = near.where(F.col("deeper") == deeper).select("x", "y")
+        pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(s.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
+        pairs = pairs.select("x", "y", pieces(F.col("s"), width).alias("s"), pieces(F.col("t"), width).alias("t"))
+        pairs = pairs.select("x", "y", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))
+        pairs = written(pairs.select("x", "y", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold))
+        found = pairs if found is None else found.union(pairs)
+        if deeper:
+            n, all_of = found.agg(F.count("*"), F.sum(1 / met(F.col("similarity"), depth + deeper, trees))).first()
+            if n and n >= recall * all_of:
+                break
+    return found
 
 
 def similar_records(rows: DataFrame, id_col: str, text_col: str, width: int = 6, threshold: float = 0.7, recall: float = 0.9995, seed: int = 20) -> DataFrame:

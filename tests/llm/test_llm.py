@@ -138,12 +138,43 @@ def test_bitmaps_differ_at_most_as_the_sets_do():
     texts = ["".join(rng.choice("CNO(") for _ in range(n)) for n in (6, 6, 7, 9, 20, 80, 80, 400) for _ in range(6)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["tid", "text"])
     rows = next(similar_sets._sketches(6, 3, 40, 20)(iter([batch]))).to_pylist()
+    assert [r["size"] for r in rows] == [len({t[k : k + 6] for k in range(len(t) - 5)}) for t in texts]
     sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
     for a, b in itertools.combinations(range(len(texts)), 2):
         differ = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(rows[a]["bits"], rows[b]["bits"], strict=True))
         assert differ <= len(sets[a] ^ sets[b]), (texts[a], texts[b])
 
 
+@pytest.mark.parametrize("hot", [2048, 5])
+def test_neighbours_in_a_tree(spark, monkeypatch, hot):
+    monkeypatch.setattr(similar_sets, "HOT", hot)
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 2, 3, rng.randrange(10, 90)]), rng.randrange(4) << 20 | rng.randrange(2) << 10 | rng.randrange(2), i % 120, 50 + rng.randrange(40)) for i in range(240)]
+    df = spark.createDataFrame(rows, "head long, tail int, tid long, size int")
+    want = {}
+    for (h, t, i, m), (g, u, j, n) in itertools.combinations(rows, 2):
+        if h == g and i != j and min(m, n) >= max(m, n) * 0.7 - 1:
+            x = t ^ u
+            deeper = 0 if x >> 20 else 1 if x >> 10 else 2 if x else 3
+            key = (min(i, j), max(i, j))
+            want[key] = max(want.get(key, 0), deeper)
+    assert {(r.x, r.y): r.deeper for r in similar_sets.candidates(df, 0.7).collect()} == want
+    assert similar_sets.candidates(df.limit(0), 0.7).count() == 0
+
+
+def test_forest_shares_prefixes_as_often_as_it_says():
+    rng = random.Random(11)
+    base = "".join(rng.choice("CNOcn()=1") for _ in range(120))
+    texts = [base] + [base[: 120 - k] + "".join(rng.choice("FSPB") for _ in range(k)) for k in range(4, 44, 2) for _ in range(10)]
+    sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["tid", "text"])
+    rows = next(similar_sets._sketches(6, 3, 200, 20)(iter([batch]))).to_pylist()
+    for k in range(1, len(texts), 10):
+        shared = np.mean([rows[0]["heads"][t] == rows[i]["heads"][t] for i in range(k, k + 10) for t in range(200)])
+        want = np.mean([(len(sets[0] & sets[i]) / len(sets[0] | sets[i])) ** 3 for i in range(k, k + 10)])
+        assert abs(shared - want) < 0.07, (k, shared, want)
+
+
 # --- 6, 7 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello world's <|endoftext|> 12345", "naïve café – 東京 😀​\x85", "a" * 3000, "don't  \n\n x", "été é", "The the THE " * 400, "\x00\x01"]
