@@ -229,7 +229,7 @@ def candidates(leaves: DataFrame, threshold: float) -> DataFrame:
     return near.groupBy("x", "y").agg(F.max("deeper").alias("deeper"))
 
 
-def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, recall: float = 0.9995, seed: int = 20) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, recall: float = 0.9999, seed: int = 20) -> DataFrame:
     """(x, y, similarity): ids of all pairs of distinct texts (tid, text) whose piece sets have at least that Jaccard similarity.
 
     Sorted sketch forest: the minhash signatures of many independent trees are sorted, and neighbours of a common prefix are
@@ -262,7 +262,7 @@ def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, reca
     return found
 
 
-def similar_records(rows: DataFrame, id_col: str, text_col: str, width: int = 6, threshold: float = 0.7, recall: float = 0.9995, seed: int = 20) -> DataFrame:
+def similar_records(rows: DataFrame, id_col: str, text_col: str, width: int = 6, threshold: float = 0.7, recall: float = 0.9999, seed: int = 20) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: every pair of records with similar piece sets.
 
     Texts count without outer white space. A record with a null text or one shorter than `width` has an empty set and is in no
