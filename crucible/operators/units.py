@@ -1,16 +1,15 @@
 """Problem 2: one quantity recorded in different units and scales, brought to nM.
 
-A record's unit is what its columns say, else its comment, else the assay's description. Records of one entity (molecule and
-assay) link the units they are stated in; from the links the scale and offset between every two units are estimated
-robustly, snapped to a known conversion and propagated from nM through the graph of units.
+A record's label is the unit as its columns, else its comment, else the assay's description spell it. Records of one entity
+(molecule and assay) link the labels they are stated in; from the links the scale and offset between every two labels are
+estimated robustly, snapped to a known conversion and propagated from nM through the graph of labels.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.runtime import written
@@ -38,7 +37,9 @@ NUMBER = r"([0-9]+(?:[.,][0-9]+)?)(?:\s*[xX×*]\s*10\^?([-+]?[0-9]+)|[eE]([-+]?[
 STATED = rf"^(?:[A-Za-z ]*?(?:IC ?50|EC ?50|K[id]))?\s*[:=]?\s*{NUMBER}\s*{UNIT}(?:$|[\s.,;)(])"
 NAMED = rf"(?:^|(?:^|[\s,;(])(?:in|as|says)\s+|:\s+|\(){UNIT}(?:$|[\s.,;)])"
 LOG_TYPE = r"^\s*(p|-\s*log|log)"
-FEWEST_LINKS, WIDEST = 20, 0.4
+LOGS = ("-log10 M", "log10 M")
+#: How far a link may miss a power of ten to vote for it (1 percent), and the votes a conversion needs.
+VOTE, FEWEST_VOTES = 0.00435, 5
 
 
 def _group(c: str, pattern: str, k: int) -> Column:
@@ -84,88 +85,90 @@ def stated_quantities(activities: DataFrame, assays: DataFrame) -> DataFrame:
     percent = F.coalesce(F.lower(F.trim("standard_type")) == "inhibition", F.lit(False)) | F.coalesce(F.col("column_label") == "%", F.lit(False))
     number = F.when(only_told, F.col("told")).otherwise(F.col("own"))
     a = a.select("activity_id", "molecule_ref", "assay_id", "mol_weight", number.alias("number"), F.when(~percent, label).alias("label"), F.when(~percent, by).alias("said_by"))
-    return a.withColumn("unit", F.when(F.col("label").isin("-log10 M", "log10 M"), F.col("label")).otherwise(_canonical(F.col("label"))))
+    return a.withColumn("unit", F.when(F.col("label").isin(*LOGS), F.col("label")).otherwise(_canonical(F.col("label"))))
 
 
 def unit_links(stated: DataFrame) -> DataFrame:
-    """(a, b, sign, mass, offset, spread, links): for every two labels the relation x_a = sign * x_b + mass * log10(weight) + offset.
+    """(a, b, sign, mass, offset, votes, links): the relations x_a = sign * x_b + mass * log10(weight) + offset that entities vote for.
 
-    x is log10 of the number, or the number of a logarithm. Each entity counts once a label (its mean), so hot entities are
-    met by partial aggregation. Of the relations tried, the one of least interquartile range is kept; the offset is a median.
+    x is log10 of the number, or the number of a logarithm. An entity (molecule and assay) has one value a label (its
+    smallest), so hot entities are met by partial aggregation and a pair of labels has one link an entity. A link votes for
+    the relation of which it misses a whole power of ten by at most VOTE: repeated results agree that well, others fall on one
+    by chance only now and then. So a pair's scale and offset are its mode, which outliers and wrongly labelled results don't
+    move. Both directions come out.
     """
-    x = F.when(F.col("label").isin("-log10 M", "log10 M"), F.col("number")).when(F.col("number") > 0, F.log10("number"))
+    x = F.when(F.col("label").isin(*LOGS), F.col("number")).when(F.col("number") > 0, F.log10("number"))
     e = stated.where("label is not null and molecule_ref is not null and assay_id is not null").withColumn("x", x).where("x is not null")
-    e = e.groupBy("molecule_ref", "assay_id", "label").agg(F.avg("x").alias("x"), F.avg(F.log10("mol_weight")).alias("w"))
-    p, q = e.select("molecule_ref", "assay_id", F.col("label").alias("a"), F.col("x").alias("xa"), F.col("w").alias("wa")), e.select("molecule_ref", "assay_id", F.col("label").alias("b"), F.col("x").alias("xb"), F.col("w").alias("wb"))
-    pairs = p.join(q, ["molecule_ref", "assay_id"]).where("a < b")
+    e = e.groupBy("molecule_ref", "assay_id", "label").agg(F.min("x").alias("x"), F.avg(F.log10(F.when(F.col("mol_weight") > 0, F.col("mol_weight")))).alias("w"))
+    e = e.withColumn("of", F.collect_list(F.struct("label", "x", "w")).over(Window.partitionBy("molecule_ref", "assay_id")))  # a row a label: few an entity
+    pairs = e.select(F.col("label").alias("a"), F.col("x").alias("xa"), "w", F.explode("of").alias("o")).where(F.col("a") != F.col("o.label"))
+    w = F.coalesce("w", "o.w")
     ways = [(s, m) for s in (1, -1) for m in (0, 1, -1)]
-    w = F.coalesce("wa", "wb")
-    fits = [F.percentile_approx(F.col("xa") - s * F.col("xb") - (m * w if m else 0), [0.25, 0.5, 0.75], 1000).alias(f"f{i}") for i, (s, m) in enumerate(ways)]
-    got = pairs.groupBy("a", "b").agg(F.count("*").alias("links"), *fits)
-    # a spread is counted as larger for a relation that needs more: sign change, weight
-    each = F.array(*[F.struct((F.col(f"f{i}")[2] - F.col(f"f{i}")[0] + 0.01 * (abs(m) + (s < 0))).alias("spread"), F.lit(s).alias("sign"), F.lit(m).alias("mass"), F.col(f"f{i}")[1].alias("offset")) for i, (s, m) in enumerate(ways)])
-    return got.select("a", "b", "links", F.array_min(F.filter(each, lambda c: c["spread"].isNotNull())).alias("best")).select("a", "b", "best.sign", "best.mass", "best.offset", "best.spread", "links")
+    tried = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(m).alias("mass"), (F.col("xa") - s * F.col("o.x") - (m * w if m else 0)).alias("d")) for s, m in ways])
+    near = F.abs(F.col("t.d") - F.round("t.d")) <= VOTE
+    got = pairs.select("a", F.col("o.label").alias("b"), F.explode(tried).alias("t")).groupBy("a", "b", "t.sign", "t.mass", F.round("t.d").cast("int").alias("offset")).agg(F.count_if(near).alias("votes"), F.count("*").alias("links"))
+    return got.where("votes > 0 and offset is not null")
 
 
-def propagate(links: list, anchor: str = "nM") -> dict[str, tuple[int, int, int, float]]:
-    """Conversion (sign, mass, offset) to log10 nM of every label that trusted links reach from the anchor, and the doubt on the way.
+def propagate(links: DataFrame, anchor: str = "nM", rounds: int = 8) -> DataFrame:
+    """(label, sign, mass, shift, votes, against): the conversion to log10 nM of every label that links reach from the anchor.
 
-    A link is trusted with enough entities and a narrow spread; its offset is snapped to the nearest power of ten (known
-    conversions have no others) and dropped when far from one. The least doubtful path counts.
+    In each round every label counts the votes for each known conversion that its links to labels converted so far lead to,
+    over all of them; the one of most votes is taken if it has at least FEWEST_VOTES and twice as many as the next. Rounds go
+    on until nothing changes. Everything stays a table, as spellings are free text and their number has no bound.
     """
-    near: dict[str, list] = {}
-    for r in links:
-        if r.links < FEWEST_LINKS or r.spread is None or r.spread > WIDEST or abs(r.offset - round(r.offset)) > 0.2:
-            continue
-        doubt = (0.01 + abs(r.offset - round(r.offset)) + r.spread) / math.sqrt(r.links)
-        near.setdefault(r.b, []).append((r.a, r.sign, r.mass, round(r.offset), doubt, True))
-        near.setdefault(r.a, []).append((r.b, r.sign, r.mass, round(r.offset), doubt, False))
-    found, heap = {}, [(0.0, anchor, (1, 0, 0))]
-    while heap:
-        doubt, label, (s, m, o) = heapq.heappop(heap)
-        if label in found:
-            continue
-        found[label] = (s, m, o, doubt)
-        for other, sign, mass, offset, more, forward in near.get(label, ()):
-            if other in found:
-                continue
-            if forward:  # x_other = sign * x + mass * w + offset, so x = sign * (x_other - mass * w - offset)
-                new = (s * sign, m - s * sign * mass, o - s * sign * offset)
-            else:  # x = sign * x_other + mass * w + offset
-                new = (s * sign, m + s * mass, o + s * offset)
-            heapq.heappush(heap, (doubt + more, other, new))
+    spark = links.sparkSession
+    links = written(links)
+    known = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(m).alias("mass"), F.lit(o).alias("shift")) for s, m, o in sorted(set(KNOWN.values()))])
+    start = spark.createDataFrame([(anchor, 1, 0, 0, 0, 0)], "label string, sign int, mass int, shift int, votes long, against long")
+    found, before = start, None
+    for _ in range(rounds):
+        f = found.select(F.col("label").alias("a"), F.col("sign").alias("s"), F.col("mass").alias("m"), F.col("shift").alias("o"))
+        to = F.struct((F.col("s") * F.col("sign")).alias("sign"), (F.col("m") + F.col("s") * F.col("mass")).alias("mass"), (F.col("o") + F.col("s") * F.col("offset")).alias("shift"))
+        votes = links.where(F.col("b") != anchor).join(f, "a").select(F.col("b").alias("label"), to.alias("to"), "votes").where(F.array_contains(known, F.col("to")))
+        votes = votes.groupBy("label", "to").agg(F.sum("votes").alias("votes"))
+        best = votes.groupBy("label").agg(F.max(F.struct("votes", "to")).alias("best"), F.sum("votes").alias("all"), F.sort_array(F.collect_list("votes"), False).alias("order"))  # at most one entry a known conversion
+        best = best.select("label", "best.to.*", F.col("best.votes").alias("votes"), F.coalesce(F.get("order", F.lit(1)), F.lit(0)).alias("against"))
+        found = written(start.union(best.where((F.col("votes") >= FEWEST_VOTES) & (F.col("votes") >= 2 * F.col("against")))))
+        state = found.agg(F.count("*"), F.sum(F.xxhash64("label", "sign", "mass", "shift").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
     return found
 
 
-def conversion_table(stated: DataFrame) -> DataFrame:
+def conversion_table(stated: DataFrame, spellings: bool = True) -> DataFrame:
     """(label, unit, sign, mass, shift, source): one row a label that can be converted.
 
-    source tells whether the links confirm the spelling's known conversion ('both'), only the spelling is known ('spelling'),
-    the links speak against it ('spelling, links differ'; the spelling holds) or only the links tell ('links'). The labels
-    are a small dimension: their links are brought to the driver, at most the square of the number of spellings.
+    The conversion that the links lead to holds, source 'links'. Only a label that they don't reach surely enough takes its
+    spelling's, source 'spelling', unless spellings is False. unit is the known unit of that conversion; labels of one unit
+    have one conversion.
     """
-    graph = propagate(unit_links(stated).collect())
-    labels = stated.where("label is not null").select("label", "unit").distinct().collect()
-    rows = []
-    for r in labels:
-        known, linked = KNOWN.get(r.unit), graph.get(r.label)
-        if known is None and linked is None:
-            continue
-        sign, mass, shift = known or linked[:3]
-        source = "links" if known is None else "spelling" if linked is None else "both" if tuple(linked[:3]) == known else "spelling, links differ"
-        rows.append((r.label, r.unit or f"10^{shift} nM" + " by weight" * bool(mass), sign, mass, shift, source))
-    return stated.sparkSession.createDataFrame(rows, "label string, unit string, sign int, mass int, shift int, source string")
-
-
-def to_common_unit(activities: DataFrame, assays: DataFrame) -> DataFrame:
+    graph = propagate(unit_links(stated)).select("label", F.struct("sign", "mass", "shift").alias("linked"))
+    table = {u: F.struct(*[F.lit(v).alias(n) for n, v in zip(("sign", "mass", "shift"), k, strict=True)]) for u, k in KNOWN.items()}
+    spelled = F.lit(None).cast("struct<sign:int,mass:int,shift:int>")
+    for u, k in table.items():
+        spelled = F.when(F.col("unit") == u, k).otherwise(spelled)
+    labels = stated.where("label is not null").groupBy("label").agg(F.first("unit").alias("unit")).join(graph, "label", "left")
+    use = F.coalesce("linked", spelled) if spellings else F.col("linked")
+    t = labels.select("label", use.alias("c"), F.when(F.col("linked").isNotNull(), "links").otherwise("spelling").alias("source")).where("c is not null")
+    name = F.concat(F.lit("10^"), F.col("c.shift"), F.lit(" nM"), F.when(F.col("c.mass") != 0, " by weight").otherwise(""))
+    for u, k in table.items():
+        log = F.col("label").isin(*LOGS)
+        name = F.when((F.col("c") == k) & (log if u in LOGS else ~log), u).otherwise(name)
+    return t.select("label", name.alias("unit"), "c.sign", "c.mass", "c.shift", "source")
+
+
+def to_common_unit(activities: DataFrame, assays: DataFrame, spellings: bool = True) -> DataFrame:
     """(activity_id, molecule_ref, assay_id, unit, said_by, value_nm): every record with its quantity in nM; null where it can't be had.
 
-    Mass per volume without a positive mol_weight, missing numbers, percentages and unknown units have no value.
+    Mass per volume without a positive mol_weight, missing numbers, percentages and unknown units have no value. Without
+    `spellings` only conversions that the links give are used.
     """
     stated = written(stated_quantities(activities, assays))  # the texts are searched once; links, labels and values read the result
-    table = conversion_table(stated).select("label", F.col("unit").alias("common"), "sign", "mass", "shift")
-    s = stated.drop("unit").join(F.broadcast(table), "label", "left")  # one row a spelling
-    logarithm = F.col("common").isin("-log10 M", "log10 M")
+    table = written(conversion_table(stated, spellings)).select("label", F.col("unit").alias("common"), "sign", "mass", "shift")
+    s = stated.drop("unit").join(table, "label", "left")  # one row a spelling; Spark checks the size and broadcasts, or splits hot labels
+    logarithm = F.col("label").isin(*LOGS)
     weight = F.when(F.col("mass") == 0, F.lit(1.0)).when(F.col("mol_weight") > 0, F.pow("mol_weight", "mass"))
     value = F.when(logarithm, F.pow(F.lit(10.0), F.col("sign") * F.col("number") + F.col("shift"))).when(F.col("number") > 0, F.col("number") * F.pow(F.lit(10.0), F.col("shift")) * weight)
     return s.select("activity_id", "molecule_ref", "assay_id", F.col("common").alias("unit"), "said_by", value.alias("value_nm"))

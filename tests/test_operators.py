@@ -43,11 +43,32 @@ def test_units(spark):
     assert units.same_quantity_pairs(units.to_common_unit(a.limit(0), s.limit(0))).count() == 0
 
 
-def test_unit_graph_learns_a_spelling(spark):
-    rows = [(2 * i + k, i, 1, (0.5 + i) * (1000 if k else 1), "IC50", "nM" if k else "kilo-nm", None, None, "") for i in range(40) for k in (0, 1)]
+def test_unit_graph_learns_spellings_and_overrules_wrong_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):  # every value twice: in nM and in a unit no table knows, by scale, weight or logarithm; some labels are wrong
+        v, w = 10 ** rng.uniform(0, 4), rng.uniform(150, 600)
+        other = [(v / 1000, "IC50", "kilo-nm"), (v * w * 1e-6, "IC50", "gamma"), (9 - math.log10(v), "pIC50", None), (v * 1000, "IC50", "uM")][i % 4]
+        rows += [(2 * i, i, 1, v, "IC50", "nM", None, w, ""), (2 * i + 1, i, 1, v / 1000 if i % 16 == 0 else other[0] * (1000 if i % 11 == 5 else 1), other[1], other[2], None, w, "")]
+    rows += [(1000 + i, 500 + i // 2, 1, 7.0 * (1 + i), "IC50", ("nM", "furlong")[i % 2], None, None, "") for i in range(8)]
     a = spark.createDataFrame(rows, ACTIVITIES)
-    t = {r.label: r for r in units.conversion_table(units.stated_quantities(a, spark.createDataFrame([], "assay_id int, description string"))).collect()}
-    assert (t["kilo-nm"].sign, t["kilo-nm"].mass, t["kilo-nm"].shift, t["kilo-nm"].source) == (1, 0, 3, "links")
+    none = spark.createDataFrame([], "assay_id int, description string")
+    for spellings in (True, False):  # the table of spellings isn't what converts
+        t = {r.label: (r.sign, r.mass, r.shift, r.source) for r in units.conversion_table(units.stated_quantities(a, none), spellings).collect()}
+        assert t == {"nM": (1, 0, 0, "links"), "kilo-nm": (1, 0, 3, "links"), "gamma": (1, -1, 6, "links"), "-log10 M": (-1, 0, 9, "links"), "uM": (1, 0, -3, "links")}
+    got = {r.activity_id: r.value_nm for r in units.to_common_unit(a, none, spellings=False).collect()}
+    good = [i for i in range(60) if i % 11 != 5 and i % 16]
+    assert all(got[2 * i + 1] == pytest.approx(got[2 * i], rel=1e-6) for i in good) and got[1001] is None
+
+
+def test_unit_graph_reaches_over_labels(spark):
+    rows = []
+    for i in range(40):
+        v = 10.0 ** (i % 7) * (1.3 + 0.11 * i)
+        first, second = (("nM", v), ("aa", v / 1e3)) if i % 2 else (("aa", v / 1e3), ("bb", v / 1e6))
+        rows += [(2 * i, i, 1, first[1], "IC50", first[0], None, None, ""), (2 * i + 1, i, 1, second[1], "IC50", second[0], None, None, "")]
+    t = units.conversion_table(units.stated_quantities(spark.createDataFrame(rows, ACTIVITIES), spark.createDataFrame([], "assay_id int, description string")))
+    assert {r.label: r.shift for r in t.collect()} == {"nM": 0, "aa": 3, "bb": 6}
 
 
 def test_selection(spark):
