@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,75 +13,97 @@ from crucible.llm.tokens import VOCABULARY, encode_texts
 from crucible.runtime import cut, written
 
 
+class SumIndex:
+    """Which sizes, and sums of two sizes, are available under the counts left, kept up as items are taken.
+
+    singles[s] is the number of items of size s, pairs[t] the number of pairs of sizes (a <= b) that sum to t and are both
+    there, twice where a = b; a triple of sum t is a size s with pairs[t - s], checked against the counts when it is taken.
+    """
+
+    def __init__(self, available: np.ndarray):
+        self.singles = available.astype(np.int64).copy()
+        self.singles[0] = 0
+        n = len(self.singles)
+        self.pairs = np.zeros(2 * n, np.int64)
+        self.sizes = np.flatnonzero(self.singles)
+        for k, s in enumerate(self.sizes):
+            self.pairs[s + self.sizes[k + 1 :]] += 1
+            if self.singles[s] > 1:
+                self.pairs[2 * s] += 1
+
+    def take(self, s: int, times: int = 1) -> None:
+        left = self.singles[s] - times
+        if self.singles[s] > 1 >= left:
+            self.pairs[2 * s] -= 1
+        self.singles[s] = left
+        if not left:
+            self.sizes = self.sizes[self.sizes != s]
+            self.pairs[s + self.sizes] -= 1
+
+    def pair(self, total: int) -> list[int]:
+        """Two available sizes of that sum, the nearest to each other; empty where there are none."""
+        if total < 2 or not self.pairs[total]:
+            return []
+        own = self.sizes[(self.sizes * 2 <= total) & (self.sizes < total)]
+        other = total - own
+        ok = other < len(self.singles)
+        ok[ok] = (self.singles[other[ok]] > 0) & ((other[ok] != own[ok]) | (self.singles[own[ok]] > 1))
+        return [int(total - own[ok][-1]), int(own[ok][-1])] if ok.any() else []
+
+    def exact(self, gap: int) -> list[int]:
+        """One, two or three available sizes that sum to the gap; the largest first size is tried first."""
+        if self.singles[gap]:
+            return [gap]
+        two = self.pair(gap)
+        if two:
+            return two
+        own = self.sizes[self.sizes < gap]
+        for s in own[self.pairs[gap - own] > 0][::-1]:
+            s = int(s)
+            rest = self.pair(gap - s)
+            if rest and rest.count(s) < self.singles[s]:
+                return [s, *rest]
+        return []
+
+
 def plan(available: np.ndarray) -> list[tuple[int, list[int]]]:
     """(number of containers, sizes in each) for available[s] items of size s; the capacity is the last index.
 
     A container starts with the largest size left and takes the largest that fits until three items or fewer can fill the
-    gap; then single, pair and triple sums that equal the gap are looked up under the counts left, and only where none exists
-    the best fitting size is taken. A pattern is used as often as its counts allow, so the work follows the number of
-    distinct sizes, not of items.
+    gap; then the index of single, pair and triple sums is asked for an exact complement, and only where none exists the best
+    fitting size is taken. A pattern is used as often as its counts allow, so the work follows the number of distinct sizes,
+    not of items.
     """
-    have = available.astype(np.int64).copy()
-    capacity, out = len(have) - 1, []
-    while True:
-        left = np.flatnonzero(have)
-        if not len(left):
-            return out
+    index = SumIndex(available)
+    have, capacity, out = index.singles, len(available) - 1, []
+    while len(index.sizes):
+        left = index.sizes
         largest, least = int(left[-1]), int(left[0])
         typical = max(1, int((left * have[left]).sum() // have[left].sum()))
         took, gap = [largest], capacity - largest
-        have[largest] -= 1
-
-        def take(s: int, took: list[int] = took) -> None:
-            have[s] -= 1
-            took.append(s)
-
+        index.take(largest)
         while gap >= least:
             if gap <= 4 * typical or gap <= 3 * largest:
-                exact = complement(have, gap)
+                exact = index.exact(gap)
                 if exact:
                     for s in exact:
-                        take(s)
-                    gap = 0
+                        index.take(s)
+                    took += exact
                     break
-            fit = np.flatnonzero(have[: gap + 1])
-            if not len(fit):
+            at = int(np.searchsorted(index.sizes, gap, side="right"))
+            if not at:
                 break
-            s = int(fit[-1])
-            take(s)
+            s = int(index.sizes[at - 1])
+            index.take(s)
+            took.append(s)
             gap -= s
         sizes, need = np.unique(took, return_counts=True)
-        times = 1 + int((have[sizes] // need).min())
-        have[sizes] -= need * (times - 1)
-        out.append((times, took))
-
-
-def complement(have: np.ndarray, gap: int) -> list[int]:
-    """One, two or three available sizes that sum to the gap exactly; empty where there are none."""
-    if have[gap]:
-        return [gap]
-    there = have[: gap + 1] > 0
-
-    def pair(total: int, there: np.ndarray) -> list[int]:
-        ok = np.flatnonzero(there[: total // 2 + 1] & there[total::-1][: total // 2 + 1])
-        for s in ok[::-1]:
-            s = int(s)
-            if s and (2 * s != total or have[s] >= 2):
-                return [total - s, s]
-        return []
-
-    two = pair(gap, there)
-    if two:
-        return two
-    for s in np.flatnonzero(there)[::-1]:
-        s = int(s)
-        if 0 < s < gap:
-            have[s] -= 1
-            rest = pair(gap - s, have[: gap + 1] > 0)
-            have[s] += 1
-            if rest:
-                return [s, *rest]
-    return []
+        more = int((have[sizes] // need).min())
+        for s, k in zip(sizes.tolist(), need.tolist(), strict=True):
+            if more:
+                index.take(s, k * more)
+        out.append((1 + more, took))
+    return out
 
 
 def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", capacity: int = 2048) -> DataFrame:
@@ -104,17 +129,25 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", cap
     slots, used, base = [], np.zeros(capacity + 1, np.int64), 0
     for times, took in plan(have):
         for size in took:
-            slots.append((size, int(used[size]), int(used[size]) + times, base))
+            slots.append((size, int(used[size]), base))
             used[size] += times
         base += times
+    # at most a slot a place of a pattern, and every pattern but the last uses a size up: bounded by the capacity, not by the items
+    by_size = np.array(sorted(slots), np.int64).reshape(-1, 3)
     start_df = spark.createDataFrame(start, "part long, tokens int, first long, before long")
-    slot_df = spark.createDataFrame(slots, "tokens int, lo long, hi long, base long")
     ranked = placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(start_df), ["part", "tokens"]).select("id", "piece", "tokens", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
-    # slots of one size in blocks of ranks, so that the join is on equal keys
-    by_size = slot_df.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "base"))).alias("slots"))
-    found = ranked.join(F.broadcast(by_size), "tokens")
-    s = F.element_at(F.filter("slots", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), 1)
-    return found.select((s["base"] + F.col("rank") - s["lo"]).alias("container"), F.col("id").alias(id_col), "piece", "tokens")
+    sent = spark.sparkContext.broadcast(by_size)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, first = sent.value.T
+        span = 1 << 40  # ranks of a size; slots in the order of size and rank are found by one search
+        for b in batches:
+            tokens, rank = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
+            at = np.searchsorted(size * span + low, tokens * span + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(first[at] + rank - low[at]), b.column(0), b.column(1), b.column(2)], ["container", "id", "piece", "tokens"])
+
+    kind = dict(items.dtypes)[id_col]
+    return ranked.mapInArrow(fill, f"container long, id {kind}, piece int, tokens int").withColumnRenamed("id", id_col)
 
 
 def pack_texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -210,6 +210,22 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_index_of_sums_is_exact():
+    rng = random.Random(6)
+    for _ in range(60):
+        have = np.zeros(41, np.int64)
+        for _ in range(rng.randrange(1, 9)):
+            have[rng.randrange(1, 41)] += rng.randrange(1, 3)
+        index = packing.SumIndex(have)
+        for _ in range(int(have.sum()) // 2):
+            items = [s for s in range(41) for _ in range(int(index.singles[s]))]
+            for gap in range(1, 41):
+                got = index.exact(gap)
+                there = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(items, k))
+                assert bool(got) == there and (not got or (sum(got) == gap and all(items.count(s) >= got.count(s) for s in got)))
+            index.take(rng.choice(items))
+
+
 # --- 8 ---------------------------------------------------------------------
 
 WORDS = "für Größe Ähnlichkeit geprüft Löslichkeit über élève clé référence déjà façon año señal más débil código ação relação máxima posição Выход составил температура плавления дескриптор удалён разделена °C µM β-strand – “x” ± Å R²".split()
