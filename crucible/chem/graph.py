@@ -189,7 +189,8 @@ class Molecule:
         return d
 
     def weight(self) -> float:
-        return sum(MASS.get(s, 0.0) for s in self.symbol) + 1.008 * sum(self.hydrogens)
+        """An isotope weighs its mass number."""
+        return sum(i or MASS.get(s, 0.0) for s, i in zip(self.symbol, self.isotope, strict=True)) + 1.008 * sum(self.hydrogens)
 
     def formula(self) -> str:
         """Hill order: C, H, then the others by name; all by name without C."""

@@ -16,46 +16,54 @@ def _hash(values) -> int:
 
 
 def morgan_bits(m: Molecule, radius: int = 2, bits: int = 2048) -> list[int]:
-    """Set bits of a circular fingerprint: hashed atom invariants, then `radius` rounds over sorted (bond order, neighbour) pairs."""
+    """Set bits of a circular fingerprint.
+
+    An atom starts with the hash of its number of bonds, the sum of their orders, element, isotope, charge and whether it
+    lies in a ring; in each round it takes the hash of its own number and its neighbours' (bond order, number) in order. An
+    aromatic bond has the order 1.5, of which sums keep the half and the rounds the whole part.
+    """
     inside = {i for r in m.rings for i in r}
+    order = [1.5 if m.arom_bond[k] else float(o) for k, o in enumerate(m.order)]
     own = []
     for i in range(m.n):
-        orders = sum(m.order[k] for _, k in m.near[i])
-        heavy = sum(m.symbol[j] != "H" for j, _ in m.near[i])
-        own.append(_hash((heavy, float(orders), Z_OF.get(m.symbol[i], 0), m.isotope[i] or None, m.charge[i], int(i in inside))))
+        total = sum(order[k] for _, k in m.near[i])
+        own.append(_hash((len(m.near[i]), total, Z_OF.get(m.symbol[i], 0), m.isotope[i] or None, m.charge[i], int(i in inside))))
     seen = set(own)
-    for r in range(radius):
-        own = [_hash((r + 1, own[i], *(x for p in sorted((1.5 if m.arom_bond[k] else float(m.order[k]), own[j]) for j, k in m.near[i]) for x in p))) for i in range(m.n)]
+    for _ in range(radius):
+        own = [_hash((own[i], *(x for o, n in sorted((order[k], own[j]) for j, k in m.near[i]) for x in (int(o), n)))) for i in range(m.n)]
         seen.update(own)
     return sorted({h % bits for h in seen})
 
 
 def path_bits(m: Molecule, shortest: int = 1, longest: int = 7, bits: int = 2048) -> list[int]:
-    """Set bits of a topological fingerprint: simple paths of that many atoms, read in the smaller direction."""
-    found: set[int] = set()
-    code = [Z_OF.get(s, 0) for s in m.symbol]
-
-    def walk(path: list[int], kinds: list[int]) -> None:
-        if len(path) >= shortest:
-            forward = [code[path[0]]]
-            for i, k in zip(path[1:], kinds, strict=True):
-                forward += [k, code[i]]
-            found.add(_hash(min(forward, forward[::-1])) % bits)
-        if len(path) < longest:
-            for j, k in m.near[path[-1]]:
-                if j not in path:
-                    walk([*path, j], [*kinds, 4 if m.arom_bond[k] else m.order[k]])
+    """Set bits of a topological fingerprint: simple paths of that many bonds as elements and bond kinds in turn, in the smaller direction.
 
-    for i in range(m.n):
-        walk([i], [])
-    return sorted(found)
+    A bond's kind is the whole part of its order, and 10 more for an aromatic one.
+    """
+    found: set[tuple[int, ...]] = set()
+    code = [Z_OF.get(s, 0) for s in m.symbol]
+    kind = [11 if m.arom_bond[k] else o for k, o in enumerate(m.order)]
+    for start in range(m.n):
+        todo: list[tuple[tuple[int, ...], tuple[int, ...]]] = [((start,), (code[start],))]
+        while todo:
+            path, seen = todo.pop()
+            if len(path) > shortest:
+                found.add(min(seen, seen[::-1]))
+            if len(path) <= longest:
+                todo += [((*path, j), (*seen, kind[k], code[j])) for j, k in m.near[path[-1]] if j not in path]
+    return sorted({_hash(p) % bits for p in found})
 
 
 #: Structural keys that can be set, by number: fixed values.
 KEYS = {
-    114: lambda m: any(m.symbol[i] == "C" and m.hydrogens[i] == 3 for i in range(m.n)), 137: lambda m: any(m.symbol[i] not in ("C", "H") for r in m.rings for i in r), 139: lambda m: any(s == "O" and h for s, h in zip(m.symbol, m.hydrogens, strict=True)),
-    142: lambda m: m.symbol.count("N") > 1, 161: lambda m: "N" in m.symbol, 162: lambda m: any(m.aromatic), 165: lambda m: bool(m.rings),
-}
+    114: lambda m: not {"F", "Cl", "Br", "I"}.isdisjoint(m.symbol),
+    137: lambda m: "S" in m.symbol,
+    139: lambda m: "O" in m.symbol,
+    142: lambda m: "P" in m.symbol,
+    161: lambda m: "N" in m.symbol,
+    162: lambda m: bool(m.rings),
+    165: lambda m: any(m.aromatic),
+}
 
 
 def key_bits(m: Molecule) -> list[int]:

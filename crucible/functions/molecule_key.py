@@ -14,6 +14,9 @@ def molecule_key(smiles: Column | str) -> Column:
 
     Null where the text is null, blank or can't be read. Equal texts of a batch are worked out once.
     """
+    from crucible.functions.molecules import shipped
+
+    shipped()
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

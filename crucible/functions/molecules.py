@@ -33,7 +33,20 @@ def _each(s: pd.Series, f: Callable) -> list:
     return out
 
 
+def shipped() -> None:
+    """Gives the workers this package, where a session is there and its workers may not have it."""
+    from pyspark.sql import SparkSession
+
+    from crucible.runtime import ship
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def _udf(kind: str, f: Callable) -> Callable[[Column | str], Column]:
+    shipped()
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -44,6 +57,7 @@ def _udf(kind: str, f: Callable) -> Callable[[Column | str], Column]:
 
 def parse(smiles: Column | str) -> Column:
     """The molecule as a struct of formula, weight, atoms, bonds, rings and error; error tells why a text can't be read."""
+    shipped()
 
     @F.pandas_udf(MOLECULE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -73,6 +87,7 @@ def descriptors(smiles: Column | str, names: list[str]) -> Column:
     """A struct of doubles, one a name; only the kernels these need are run. Unknown names raise KeyError on the driver."""
     from crucible.chem.descriptors import FAMILY_OF
 
+    shipped()
     for n in names:
         FAMILY_OF[n]
 
@@ -91,6 +106,7 @@ def descriptor_table(df: DataFrame, id_col: str, smiles_col: str, names: list[st
     """(id, one double a name) of the rows whose text can be read; the others don't come out. One pass, also for hundreds of names."""
     from crucible.chem.descriptors import FAMILY_OF
 
+    shipped()
     for n in names:
         FAMILY_OF[n]
 

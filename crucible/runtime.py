@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +16,7 @@ _OWN_DIR: list[str] = []
 
 def session(app: str = "crucible", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine expects; on a cluster the caller's session is used as it is."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", partitions)
@@ -26,15 +28,24 @@ def session(app: str = "crucible", cpus: int | str = "*", partitions: int = 8) -
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder of our own on one machine (tests); on a cluster, whose executors don't share the
+    driver's disk, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="crucible-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
     return _OWN_DIR[0]
 
 
@@ -48,13 +59,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: columnar, so later reads prune columns."""
+    """The rows of df as a Parquet table in the shared folder: columnar, so later reads prune columns.
+
+    The table belongs to the session and is listed in `tables_of`; `drop_written` removes what is no longer needed.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_of(spark: SparkSession) -> list[str]:
+    """Paths of the tables that `written` made in this application, oldest first."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> int:
+    """Removes the tables that `written` made in this application, but for the `keep` latest; results that still read one can't be used afterwards."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    old, paths[:] = paths[: len(paths) - keep], paths[len(paths) - keep :]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in old:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(old)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
 _SHIPPED: set[str] = set()
 
 

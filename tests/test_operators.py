@@ -152,10 +152,11 @@ def test_umap_edges_join_all_rows(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    df = spark.createDataFrame([("a b", [(0, "C", 0.0, 1.0, 2.0, 0), (1, "N", 1.0, 1.0, 2.0, 1)], [(0, 0, 1, 2, 0)], {"k": "v"})], f"name string, atoms {readers.ATOM}, bonds {readers.BOND}, props map<string,string>")
+    df = spark.createDataFrame([("a b", [(0, "C", 0.0, 1.0, 2.0, 0, 13), (1, "N", 1.0, 1.0, 2.0, 1, 0)], [(0, 0, 1, 2, 0)], {"k": "v"})], f"name string, atoms {readers.ATOM}, bonds {readers.BOND}, props map<string,string>")
     writers.write_sdf(df.union(df), str(tmp_path / "x.sdf"))
     got = readers.sdf(spark, str(tmp_path / "x.sdf")).collect()
-    assert len(got) == 2 and got[0].name == "a b" and got[0].atoms[1].symbol == "N" and got[0].atoms[1].formal_charge == 1 or got[0].atoms[1].x == 1.0
+    assert len(got) == 2 and got[0].name == "a b" and got[0].atoms[1].symbol == "N" and got[0].atoms[1].x == 1.0
+    assert [(a.formal_charge, a.isotope) for a in got[0].atoms] == [(0, 13), (1, 0)]
     assert got[0].bonds[0].kind == 2 and got[0].props == {"k": "v"}
     writers.write_mol2(df, str(tmp_path / "x.mol2"))
     m = readers.mol2(spark, str(tmp_path / "x.mol2")).first()
@@ -172,6 +173,33 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.load(spark, str(tmp_path / "x.smi")).collect()] == [("CCO", "ethanol"), ("C", None)]
 
 
+def test_many_charges_and_old_codes(spark, tmp_path):
+    atoms = [(i, "N", float(i), 0.0, 0.0, (i % 5) - 2, i % 3) for i in range(40)]
+    df = spark.createDataFrame([("", atoms, [], None)], f"name string, atoms {readers.ATOM}, bonds {readers.BOND}, props map<string,string>")
+    writers.export(df, str(tmp_path / "y.sdf"))
+    assert [tuple(a) for a in readers.load(spark, str(tmp_path / "y.sdf")).first().atoms] == atoms
+    (tmp_path / "old.mol").write_text("x\n\n\n  2  0  0  0  0  0  0  0  0  0999 V2000\n    0.0000    0.0000    0.0000 N   0  3\n    0.0000    0.0000    0.0000 O   0  5\nM  CHG  1   2   0\nM  END\n")
+    assert [a.formal_charge for a in readers.load(spark, str(tmp_path / "old.mol")).first().atoms] == [1, 0]
+    with pytest.raises(ValueError):
+        writers.export(df, str(tmp_path / "y.xyz"))
+
+
+def test_more_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("n\tv\nGr\u00f6\u00dfe\t1\n".encode("latin-1"))
+    assert [tuple(r) for r in readers.load(spark, str(tmp_path / "a.csv")).collect()] == [("Größe", 1)]
+    (tmp_path / "l.pdbqt").write_text("ATOM      1  C1  LIG A   1       1.000   2.000   3.000  1.00  0.00     0.123 A \nBRANCH   1   2\nATOM      2  O1  LIG A   1       1.000   2.000   4.000  1.00  0.00    -0.300 OA\nBRANCH   5   2\nENDBRANCH   5   2\nENDBRANCH   1   2\nBRANCH   1   9\nENDBRANCH 1 9\n")
+    assert [(r.symbol, r.aromatic, r.partial_charge) for r in readers.pdbqt(spark, str(tmp_path / "l.pdbqt")).orderBy("serial").collect()] == [("C", True, 0.123), ("O", True, -0.3)]
+    assert [(r.a, r.b, r.depth) for r in readers.pdbqt_branches(spark, str(tmp_path / "l.pdbqt")).orderBy("a", "b").collect()] == [(1, 2, 1), (1, 9, 1), (2, 5, 2)]
+    (tmp_path / "s.cif").write_text("data_X # note\n_entry.id 'a b'\nloop_\n_struct_conn.conn_type_id\n_struct_conn.ptnr1_auth_asym_id\n_struct_conn.ptnr1_auth_seq_id\n_struct_conn.ptnr2_label_atom_id\nDISULF A 5 ?\ncovale 'B' . O4\n_x.text\n;two\nlines\n;\n")
+    c = {(r.category, r.row, r.item): r.value for r in readers.cif_categories(spark, str(tmp_path / "s.cif")).collect()}
+    assert c["entry", 0, "id"] == "a b" and c["x", 0, "text"] == "two\nlines" and c["struct_conn", 1, "ptnr1_auth_seq_id"] is None
+    b = [(r.conn_type, r.chain1, r.seq1, r.atom2) for r in readers.mmcif_bonds(spark, str(tmp_path / "s.cif")).orderBy("conn_type").collect()]
+    assert b == [("covale", "B", 0, "O4"), ("disulf", "A", 5, "SG")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "q.sdf").write_text("x")
+    assert [(r.suffix, r.bytes) for r in readers.folder(spark, str(tmp_path), ("sdf",)).collect()] == [("sdf", 1)]
+
+
 def test_descriptor_stream(spark, tmp_path):
     from crucible.streaming.streams import descriptor_stream
 
