@@ -31,6 +31,7 @@ class Molecule:
             self.near[b].append((a, i))
         self.ends = [(a, b) for a, b, *_ in g.bonds]
         self.order = [o for _, _, o, _, _ in g.bonds]
+        self.marks = [x for *_, x in g.bonds]
         self._kekulise(g)
         self.component = self._components()
         self.rings = self._rings()

@@ -8,41 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crucible.chem.cycles import bridges
 from crucible.chem.matching import maximum_matching
 from crucible.functions.molecules import _each
 
 GRAPH = "struct<connected:boolean,tree:boolean,cycle:boolean,euler:boolean,has_cycle:boolean,components:int,diameter:int,bridges:int,matching:int,symmetry_classes:int,longest_path_ends:int,degrees:array<int>>"
 
 
-def _bridges(m) -> int:  # noqa: ANN001
-    """Bonds whose removal splits a fragment: low-link numbers on an explicit stack."""
-    number, low, count, clock = [-1] * m.n, [0] * m.n, 0, 0
-    for s in range(m.n):
-        if number[s] >= 0:
-            continue
-        number[s] = low[s] = clock
-        clock += 1
-        stack = [(s, -1, iter(m.near[s]))]
-        while stack:
-            i, via, it = stack[-1]
-            for j, k in it:
-                if k == via:
-                    continue
-                if number[j] < 0:
-                    number[j] = low[j] = clock
-                    clock += 1
-                    stack.append((j, k, iter(m.near[j])))
-                    break
-                low[i] = min(low[i], number[j])
-            else:
-                stack.pop()
-                if stack:
-                    p = stack[-1][0]
-                    low[p] = min(low[p], low[i])
-                    count += low[i] > number[p]
-    return count
-
-
 def _matching(m) -> int:  # noqa: ANN001
     """Bonds of a maximum matching."""
     return sum(x >= 0 for x in maximum_matching([[j for j, _ in x] for x in m.near])) // 2
@@ -57,7 +29,7 @@ def properties(m) -> dict:  # noqa: ANN001
     profile = {(m.symbol[i], tuple(sorted(zip(d[k].tolist(), [m.symbol[j] for j in m.heavy()], strict=True)))) for k, i in enumerate(m.heavy())}
     return dict(
         connected=parts == 1, tree=parts == 1 and e == m.n - 1, cycle=parts == 1 and m.n > 2 and all(x == 2 for x in degree), euler=all(x % 2 == 0 for x in degree), has_cycle=e > m.n - parts, components=parts, diameter=int(finite.max()) if len(finite) else 0,
-        bridges=_bridges(m), matching=_matching(m), symmetry_classes=len(profile), longest_path_ends=int(max((d[i, j] for i in range(len(d)) for j in range(len(d)) if np.isfinite(d[i, j]) and degree[i] <= 1 and degree[j] <= 1), default=0)), degrees=degree,
+        bridges=len(bridges(m.near)), matching=_matching(m), symmetry_classes=len(profile), longest_path_ends=int(max((d[i, j] for i in range(len(d)) for j in range(len(d)) if np.isfinite(d[i, j]) and degree[i] <= 1 and degree[j] <= 1), default=0)), degrees=degree,
     )
 
 
@@ -72,3 +44,108 @@ def graph_properties(smiles: Column | str) -> Column:
             yield pd.DataFrame([[None] * len(names) if g is None else [g[n] for n in names] for g in got], columns=names)
 
     return run(smiles)
+
+
+#: Kernels by name: module, function of a molecule, type of its value.
+KERNELS = {
+    "cycles": ("crucible.chem.cycles", lambda f: lambda m: f.all_cycles(m.near), "array<array<int>>"),
+    "bridges": ("crucible.chem.cycles", lambda f: lambda m: f.bridges(m.near), "array<int>"),
+    "ring_systems": ("crucible.chem.cycles", lambda f: lambda m: f.without_bridges(m.near), "array<array<int>>"),
+    "fragments": ("crucible.chem.cycles", lambda f: lambda m: f.parts(m.near), "array<array<int>>"),
+    "bad_valences": ("crucible.chem.perceive", lambda f: f.bad_valences, "array<int>"),
+    "sybyl_types": ("crucible.chem.perceive", lambda f: f.sybyl_types, "array<string>"),
+    "double_bond_stereo": ("crucible.chem.perceive", lambda f: lambda m: [dict(a=a, b=b, stereo=x) for a, b, x in f.double_bond_stereo(m)], "array<struct<a:int,b:int,stereo:string>>"),
+    "centres": ("crucible.chem.perceive", lambda f: lambda m: [dict(atom=i, mark=x, neighbours=n) for i, x, n in f.centres(m)], "array<struct<atom:int,mark:string,neighbours:array<int>>>"),
+    "morgan_ranks": ("crucible.chem.perceive", lambda f: f.morgan_ranks, "array<long>"),
+    "unique_numbers": ("crucible.chem.perceive", lambda f: f.unique_numbers, "array<int>"),
+    "symmetry_classes": ("crucible.chem.perceive", lambda f: f.symmetry_classes, "array<array<int>>"),
+    "structure_hash": ("crucible.chem.perceive", lambda f: f.structure_hash, "string"),
+    "longest_chain": ("crucible.chem.perceive", lambda f: f.longest_chain, "array<int>"),
+    "functional_groups": ("crucible.chem.perceive", lambda f: lambda m: [dict(name=n, atoms=a) for n, a in f.functional_groups(m)], "array<struct<name:string,atoms:array<int>>>"),
+    "named_rings": ("crucible.chem.perceive", lambda f: lambda m: [dict(name=n, atoms=a) for n, a in f.named_rings(m)], "array<struct<name:string,atoms:array<int>>>"),
+}
+
+
+def of_molecule(smiles: Column | str, name: str) -> Column:
+    """A property of KERNELS of each molecule; null where the text can't be read."""
+    from crucible.functions.molecules import _udf
+
+    module, pick, kind = KERNELS[name]
+
+    def make():  # noqa: ANN202
+        from importlib import import_module
+
+        return pick(import_module(module))
+
+    return _udf(kind, make)(smiles)
+
+
+def path_between(smiles: Column | str, a: int, b: int, avoid: tuple[int, ...] = ()) -> Column:
+    """The shortest path between two atoms as an array; null where there is none, an atom is missing or the text can't be read."""
+    from crucible.functions.molecules import _udf
+
+    def make():  # noqa: ANN202
+        from crucible.chem.cycles import path_between as f
+
+        return lambda m: f(m.near, a, b, frozenset(avoid)) if max(a, b) < m.n else None
+
+    return _udf("array<int>", make)(smiles)
+
+
+def with_hydrogens(smiles: Column | str) -> Column:
+    """A struct of atoms and bonds in which every hydrogen is an atom of its own."""
+    from crucible.functions.molecules import ATOM, BOND, _each, shipped
+
+    shipped()
+
+    @F.pandas_udf(f"struct<atoms:array<{ATOM}>,bonds:array<{BOND}>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from crucible.chem.perceive import with_hydrogens as f
+
+        for s in batches:
+            got = _each(s, f)
+            yield pd.DataFrame([(None, None) if g is None else g for g in got], columns=["atoms", "bonds"])
+
+    return run(smiles)
+
+
+def without_atoms(mols, gone):  # noqa: ANN001, ANN201
+    """mols (mol_id, atoms, bonds) without the atoms (mol_id, idx) of `gone`; bonds to them go too and what stays is numbered anew.
+
+    One aggregation of the numbers by molecule and one join; a molecule with nothing gone is unchanged. Further columns are dropped.
+    """
+    g = gone.groupBy("mol_id").agg(F.collect_set("idx").alias("gone"))
+    m = mols.select("mol_id", "atoms", "bonds").join(g, "mol_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.filter("atoms", lambda a: ~F.array_contains(F.col("gone"), a["idx"]))
+    m = m.withColumn("kept", kept).withColumn("old", F.transform("kept", lambda a: a["idx"]))
+    new = lambda i: (F.array_position(F.col("old"), i) - 1).cast("int")
+    atoms = F.transform("kept", lambda a, i: a.withField("idx", i.cast("int")))
+    bonds = F.filter("bonds", lambda b: F.array_contains(F.col("old"), b["a"]) & F.array_contains(F.col("old"), b["b"]))
+    bonds = F.transform(bonds, lambda b, i: b.withField("idx", i.cast("int")).withField("a", new(b["a"])).withField("b", new(b["b"])))
+    return m.select("mol_id", atoms.alias("atoms"), bonds.alias("bonds"))
+
+
+def without_bonds(mols, gone):  # noqa: ANN001, ANN201
+    """mols (mol_id, atoms, bonds) without the bonds (mol_id, idx) of `gone`; the others are numbered anew."""
+    g = gone.groupBy("mol_id").agg(F.collect_set("idx").alias("gone"))
+    m = mols.select("mol_id", "atoms", "bonds").join(g, "mol_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    bonds = F.transform(F.filter("bonds", lambda b: ~F.array_contains(F.col("gone"), b["idx"])), lambda b, i: b.withField("idx", i.cast("int")))
+    return m.select("mol_id", "atoms", bonds.alias("bonds"))
+
+
+def with_atom(mols, symbol: str, charge: int = 0):  # noqa: ANN001, ANN201
+    """mols with one more atom, the last, in every molecule."""
+    atom = F.struct(F.size("atoms").alias("idx"), F.lit(symbol).alias("symbol"), F.lit(charge).alias("formal_charge"), F.lit(None).cast("int").alias("isotope"), F.lit(0).alias("n_h"), F.lit(False).alias("aromatic"), F.lit("sp3").alias("hyb"))
+    return mols.withColumn("atoms", F.array_append("atoms", atom))
+
+
+def with_bonds(mols, new):  # noqa: ANN001, ANN201
+    """mols with the bonds (mol_id, a, b, order_kek) of `new`: undirected, once a pair, none from an atom to itself or to a missing one, none that is there already."""
+    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = new.where("a <> b").select("mol_id", pair.alias("p"), "order_kek").groupBy("mol_id", "p").agg(F.max("order_kek").alias("order_kek"))
+    n = n.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("p.a", "p.b", "order_kek"))).alias("new"))
+    m = mols.join(n, "mol_id", "left")
+    there = F.transform("bonds", lambda b: F.struct(F.least(b["a"], b["b"]).alias("a"), F.greatest(b["a"], b["b"]).alias("b")))
+    fresh = F.filter(F.coalesce("new", F.expr("cast(array() as array<struct<a:int,b:int,order_kek:int>>)")), lambda x: ~F.array_contains(there, F.struct(x["a"].alias("a"), x["b"].alias("b"))) & (x["a"] >= 0) & (x["b"] < F.size("atoms")))
+    added = F.transform(fresh, lambda x, i: F.struct((F.size("bonds") + i).cast("int").alias("idx"), x["a"].alias("a"), x["b"].alias("b"), x["order_kek"].cast("int").alias("order_kek"), F.lit(False).alias("aromatic"), F.lit(False).alias("in_ring")))
+    return m.withColumn("bonds", F.concat("bonds", added)).drop("new")
