@@ -23,7 +23,7 @@ FAMILIES: dict[str, tuple[Callable[[Context], dict[str, float]], tuple[str, ...]
 _VALENCE_ELECTRONS = {"H": 1, "B": 3, "C": 4, "N": 5, "O": 6, "F": 7, "Si": 4, "P": 5, "S": 6, "Cl": 7, "Se": 6, "Br": 7, "I": 7}
 _VDW_VOLUME = {"H": 7.24, "C": 20.58, "N": 15.60, "O": 14.71, "F": 13.31, "P": 24.43, "S": 24.43, "Cl": 22.45, "Br": 26.52, "I": 32.52}
 _POLARIZABILITY = {"H": 0.667, "C": 1.76, "N": 1.10, "O": 0.802, "F": 0.557, "P": 3.63, "S": 2.90, "Cl": 2.18, "Br": 3.05, "I": 5.35}
-_MCGOWAN = {"H": 8.71, "C": 16.35, "N": 14.39, "O": 12.43, "F": 10.48, "Si": 26.83, "P": 24.87, "S": 22.91, "Cl": 20.95, "Br": 26.21, "I": 34.53}
+_MCGOWAN = {"H": 8.71, "C": 16.35, "N": 14.39, "O": 12.43, "F": 10.48, "Si": 26.83, "P": 24.87, "S": 22.91, "Cl": 20.95, "Br": 26.21, "I": 34.53, "B": 18.32, "Se": 27.44}
 
 
 def ratio(a: float, b: float) -> float:
@@ -371,6 +371,143 @@ def hueckel(c: Context) -> dict[str, float]:
     }
 
 
+# Molar refractivities by element, and contributions to the polar surface by heavy neighbours, hydrogens, charge and highest bond order.
+_REFRACTIVITY = {"H": 1.463, "C": 2.491, "N": 2.743, "O": 1.529, "F": 0.923, "Cl": 5.607, "Br": 8.865, "I": 13.900}
+_POLAR_N = {
+    (3, 0, 0, 1): 3.24, (2, 0, 0, 2): 12.36, (1, 0, 0, 3): 23.79, (3, 0, 0, 2): 11.68, (2, 0, 0, 3): 13.60, (2, 1, 0, 1): 12.03, (1, 1, 0, 2): 23.85, (1, 2, 0, 1): 26.02,
+    (4, 0, 1, 1): 0.00, (3, 0, 1, 2): 3.01, (2, 0, 1, 3): 4.36, (3, 1, 1, 1): 4.44, (2, 1, 1, 2): 13.97, (2, 2, 1, 1): 16.61, (1, 2, 1, 2): 25.59, (1, 3, 1, 1): 27.64,
+}
+_POLAR_O = {(2, 0, 0, 1): 9.23, (1, 0, 0, 2): 17.07, (1, 1, 0, 1): 20.23, (1, 0, -1, 1): 23.06}
+_POLAR_S = {(2, 0, 1): 25.30, (1, 0, 2): 32.09, (3, 0, 2): 19.21, (4, 0, 2): 8.38, (1, 1, 1): 38.80}
+_POLAR_P = {(3, 0, 1): 13.59, (2, 0, 2): 34.14, (4, 0, 2): 9.81, (3, 1, 2): 23.47}
+
+
+@family("TPSA", "TPSAWithSP", "TPSAPerHeavyAtom", "MolarRefractivity", "HydrophilicFactor", "VeberViolations", "SyntheticAccessibility", "LongestChain")
+def polar(c: Context) -> dict[str, float]:
+    """Polar surface by atom contributions, refractivity and rules that need no partition coefficient; bond orders are Kekulé's off aromatic atoms."""
+    m, s = c.m, c.m.symbol
+    small = large = 0.0
+    wet = 0
+    for i in c.heavy:
+        if s[i] not in ("N", "O", "S", "P"):
+            continue
+        near = [(j, k) for j, k in m.near[i] if s[j] != "H"]
+        h = m.hydrogens[i] + len(m.near[i]) - len(near)
+        order = max([m.order[k] for _, k in m.near[i] if not m.arom_bond[k]] + [1])
+        q, key = m.charge[i], (len(near), h)
+        wet += s[i] != "P" and h > 0
+        if s[i] == "N":
+            v = (4.10 if len(near) >= 3 else 14.14) if m.aromatic[i] and q > 0 else 15.79 if m.aromatic[i] and h else (4.93 if len(near) >= 3 else 12.89) if m.aromatic[i] else _POLAR_N.get((*key, q, order), 3.24)
+        elif s[i] == "O":
+            v = 13.14 if m.aromatic[i] else _POLAR_O.get((*key, q, order), 9.23)
+        elif s[i] == "S":
+            v = 28.24 if m.aromatic[i] else _POLAR_S.get((*key, order), 25.30)
+        else:
+            v = _POLAR_P.get((*key, order), 13.59)
+        large += v
+        small += v if s[i] in ("N", "O") else 0.0
+    n, carbon = len(c.heavy), c.count["C"]
+    single = sum(o == 1 and not m.arom_bond[k] and not m.ring_bond[k] and not {s[a], s[b]} & {"H", "F", "Cl", "Br", "I"} for k, (o, (a, b)) in enumerate(zip(m.order, m.ends, strict=True)))
+    factor = ((1 + wet) * log2(1 + wet) + carbon / n * log2(1 / n) + sqrt(wet / n**2)) / log2(1 + n) if n else 0.0
+    return {
+        "TPSA": small, "TPSAWithSP": large, "TPSAPerHeavyAtom": ratio(small, n), "MolarRefractivity": sum(_REFRACTIVITY.get(x, 2.0) for x in s) + 1.463 * sum(m.hydrogens), "HydrophilicFactor": factor, "VeberViolations": (single > 10) + (small > 140),
+        "SyntheticAccessibility": min(10.0, max(1.0, 5 + 0.5 * len(m.rings) + min(0.1 * single, 1) + min(0.05 * (n - carbon), 1))), "LongestChain": _longest_carbon_path(c),
+    }
+
+
+def _longest_carbon_path(c: Context) -> int:
+    """Carbons of the longest simple path of carbons.
+
+    A path that crosses a bond outside rings doesn't come back, so paths are followed within ring systems only and what lies
+    beyond such a bond is worked out once a direction.
+    """
+    m = c.m
+    own = [m.symbol[i] == "C" for i in range(m.n)]
+    near = [[(j, m.ring_bond[k]) for j, k in m.near[i] if own[i] and own[j]] for i in range(m.n)]
+    beyond: dict[tuple[int, int], int] = {}
+
+    def within(v: int, source: int) -> int:
+        """Longest path that starts at v and doesn't begin by going to `source`."""
+        best, todo = 0, [(v, (v,))]
+        while todo:
+            x, path = todo.pop()
+            best = max(best, len(path) + max((beyond.get((x, y), 0) for y, ring in near[x] if not ring and not (x == v and y == source)), default=0))
+            todo += [(y, (*path, y)) for y, ring in near[x] if ring and y not in path]
+        return best
+
+    # bonds outside rings by direction, those whose far side is known first
+    wait = [(x, y) for x in range(m.n) for y, ring in near[x] if not ring]
+    systems = list(range(m.n))
+    for i in range(m.n):
+        for j, ring in near[i]:
+            if ring:
+                a, b = systems[i], systems[j]
+                if a != b:
+                    systems = [min(a, b) if z in (a, b) else z for z in systems]
+    inside: dict[int, list[int]] = {}
+    for i in range(m.n):
+        inside.setdefault(systems[i], []).append(i)
+    while wait:
+        ready = [(x, y) for x, y in wait if all((z, w) in beyond for z in inside[systems[y]] for w, ring in near[z] if not ring and not (z == y and w == x))]
+        for x, y in ready:
+            beyond[x, y] = within(y, x)
+        done = set(ready)
+        wait = [e for e in wait if e not in done]
+        if not ready:
+            break
+    return max((within(v, -1) for v in range(m.n) if own[v]), default=0)
+
+
+@family(
+    "TotalCharge", "MaxPartialCharge", "MinPartialCharge", "MaxPositiveCharge", "MaxNegativeCharge", "MeanAbsoluteCharge", "TotalAbsoluteCharge", "ChargeVariance", "SumSquaredCharges", "SubmolecularPolarity", "RelativePositiveCharge", "RelativeNegativeCharge", "PolarAtomCharge",
+)
+def charges(c: Context) -> dict[str, float]:
+    """Of the partial charges of the atoms, equalised along bonds."""
+    q = np.array(c.once("q", lambda: _partial(c.m)))
+    plus, minus = q[q > 0], q[q < 0]
+    size = np.abs(q)
+    polar_q = size[[s in ("N", "O", "S", "P") for s in c.m.symbol]] if len(q) else size
+    some = len(q) > 0
+    return {
+        "TotalCharge": float(q.sum()), "MaxPartialCharge": float(q.max()) if some else 0.0, "MinPartialCharge": float(q.min()) if some else 0.0, "MaxPositiveCharge": float(plus.max()) if len(plus) else 0.0, "MaxNegativeCharge": float(minus.min()) if len(minus) else 0.0,
+        "MeanAbsoluteCharge": float(size.mean()) if some else 0.0, "TotalAbsoluteCharge": float(size.sum()), "ChargeVariance": float(q.var()) if some else 0.0, "SumSquaredCharges": float((q * q).sum()), "SubmolecularPolarity": float(np.ptp(q)) if some else 0.0,
+        "RelativePositiveCharge": ratio(float(plus.max()) if len(plus) else 0.0, float(plus.sum())), "RelativeNegativeCharge": ratio(float(-minus.min()) if len(minus) else 0.0, float(-minus.sum())), "PolarAtomCharge": float(polar_q.sum()),
+    }
+
+
+def _partial(m: Molecule) -> list[float]:
+    from crucible.chem.geometry import gasteiger
+
+    return gasteiger(m)
+
+
+@family(
+    "SASA", "MolecularVolume", "RadiusOfGyration", "Asphericity", "Eccentricity", "PrincipalMoment1", "PrincipalMoment2", "PrincipalMoment3", "MolecularDiameter", "InertiaMomentA", "InertiaMomentB", "InertiaMomentC", "NPR1", "NPR2", "InertialShapeFactor", "SpherocityIndex",
+    "MolecularLength", "MolecularWidth", "MolecularThickness", "LengthToWidthRatio", "BoundingBoxVolume", "Span", "PlaneOfBestFit", "MassWeightedRadiusOfGyration", "MeanAtomicDistance3D", "GeometricWienerIndex", "GravitationalIndex", "GravitationalIndexBonded", "SurfaceToVolumeRatio",
+    "Globularity", "MolecularDensity", "DipoleMoment", "PolarSurfaceArea", "APolarSurfaceArea", "PPSA1", "PNSA1", "PPSA2", "PNSA2", "PPSA3", "PNSA3", "DPSA1", "FPSA1", "FNSA1", "WPSA1", "WNSA1", "RPCS", "RNCS", "SelectionDensity",
+)
+def space(c: Context) -> dict[str, float]:
+    """Shape, surface and charged surface of the embedded atoms (hydrogens that are no atoms of their own have no place)."""
+    from crucible.chem import geometry as G
+
+    m = c.m
+    x = G.embed(m)
+    area, volume = G.surface(x, m.symbol), G.volume(x, m.symbol)
+    q = np.array(c.once("q", lambda: _partial(m)))
+    total, p, n = float(area.sum()), q > 0, q < 0
+    polar_area = float(area[[s in ("N", "O", "F") for s in m.symbol]].sum()) if m.n else 0.0
+    mass = np.array([MASS.get(s, 0.0) for s in m.symbol])
+    bonded = sum(mass[a] * mass[b] / max(float(((x[a] - x[b]) ** 2).sum()), 1e-12) for a, b in m.ends)
+    pp, pn, qp, qn = float(area[p].sum()), float(area[n].sum()), float(q[p].sum()), float(q[n].sum())
+    out = G.shape(x, m.symbol) if m.n else dict.fromkeys(FAMILIES["space"][1], 0.0)
+    return out | {
+        "SASA": total, "MolecularVolume": volume, "GravitationalIndexBonded": float(bonded), "SurfaceToVolumeRatio": ratio(total, volume), "Globularity": ratio((36 * np.pi * volume**2) ** (1 / 3), total), "MolecularDensity": ratio(float(mass.sum()), volume),
+        "DipoleMoment": float(np.linalg.norm(q @ x)) * 2.54 if m.n else 0.0, "PolarSurfaceArea": polar_area, "APolarSurfaceArea": total - polar_area, "PPSA1": pp, "PNSA1": pn, "PPSA2": qp * pp, "PNSA2": qn * pn, "PPSA3": float((q * area)[p].sum()), "PNSA3": float((q * area)[n].sum()),
+        "DPSA1": pp - pn, "FPSA1": ratio(pp, total), "FNSA1": ratio(pn, total), "WPSA1": pp * total / 1000, "WNSA1": pn * total / 1000, "RPCS": float(area[np.argmax(q)]) * ratio(float(q.max()), qp) if p.any() else 0.0, "RNCS": float(area[np.argmin(q)]) * ratio(float(-q.min()), -qn) if n.any() else 0.0,
+        "SelectionDensity": ratio(m.n, volume),
+    }
+
+
 _SYMBOLS = ("H", "C", "N", "O", "P", "S", "F", "Cl", "Br", "I", "B", "Si")
 
 
@@ -404,6 +541,19 @@ def autocorrelations(c: Context) -> dict[str, float]:
 FAMILY_OF = {name: f for f, (_, names) in FAMILIES.items() for name in names}
 
 
+#: Families by what they are about, as `info` tells.
+CATEGORIES = {
+    "composition": "constitutional", "bonding": "constitutional", "rings": "constitutional", "groups": "constitutional", "counts": "constitutional", "degrees": "topological", "paths": "topological", "chi": "topological", "spectra": "topological", "lags": "topological",
+    "autocorrelations": "topological", "hueckel": "quantum", "charges": "electronic", "polar": "hybrid", "space": "geometric",
+}
+
+
+def info(name: str) -> dict[str, str]:
+    """Name, family, category and the family's conventions of a descriptor; KeyError for an unknown one."""
+    f = FAMILY_OF[name]
+    return {"name": name, "family": f, "category": CATEGORIES[f], "conventions": (FAMILIES[f][0].__doc__ or "").strip()}
+
+
 def names(families: tuple[str, ...] | None = None) -> list[str]:
     return [n for f, (_, own) in FAMILIES.items() if families is None or f in families for n in own]
 

@@ -31,7 +31,7 @@ RESIDUES = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLU", "GLN", "GLY", "HIS", "ILE"
 WORDS = {
     "ring": ("ring", "rings"), "nonring": ("nonring", "non_ring", "non-ring", "chain"), "all": ("all", "*", "everything"), "none": ("none", "nothing"), "heavy": ("heavy", "hetero"), "heteroatom": ("heteroatom", "heteroatoms"),
     "halogen": ("halogen", "halogens"), "hetatm": ("hetatm",), "helix": ("helix", "alpha", "alpha-helix"), "sheet": ("sheet", "beta", "beta-sheet"), "coil": ("coil", "loop", "turn"), "ligand": ("organic", "ligand", "ligands"), "water": ("solvent", "water", "sol", "wat", "hoh"),
-    "aromatic": ("aromatic",), "acceptor": ("acc", "acceptor"), "donor": ("donor",), "lipophilic": ("lipo", "lipophilic"),
+    "aromatic": ("aromatic",), "acceptor": ("acc", "acceptor"), "donor": ("donor",), "lipophilic": ("lipo", "lipophilic"), "polar": ("polar",),
 }
 _WORD = {w: k for k, ws in WORDS.items() for w in ws}
 
@@ -189,7 +189,7 @@ class Selector:
             res, het, ss = F.upper(self._has("res_name").cast("string")), self._has("is_hetatm").cast("boolean"), self._has("ss_type").cast("string")
             plain = {
                 "all": F.lit(True), "none": F.lit(False), "heavy": s != "H", "heteroatom": ~s.isin("C", "H"), "halogen": s.isin("F", "Cl", "Br", "I", "At"), "hetatm": het, "helix": ss == "H", "sheet": ss == "E", "coil": ss.isin("C", "T", "S"),
-                "ligand": het & ~res.isin(*WATER), "water": res.isin(*WATER), "aromatic": self._has("aromatic").cast("boolean"), "acceptor": s.isin("N", "O", "S", "F", "Cl", "Br"), "ring": self._has("in_ring").cast("boolean"), "nonring": ~F.coalesce(self._has("in_ring").cast("boolean"), F.lit(False)),
+                "ligand": het & ~res.isin(*WATER), "water": res.isin(*WATER), "aromatic": self._has("aromatic").cast("boolean"), "acceptor": s.isin("N", "O", "S", "F", "Cl", "Br"), "polar": s.isin("N", "O", "F"), "ring": self._has("in_ring").cast("boolean"), "nonring": ~F.coalesce(self._has("in_ring").cast("boolean"), F.lit(False)),
             }
             return F.coalesce(plain[n.args[0]], F.lit(False)) if n.args[0] in plain else None
         return None
@@ -243,3 +243,10 @@ class Selector:
         """(mol_id, total) of a numeric column, or of the element's mass, over the selected atoms."""
         value = F.col(prop) if prop in self.atoms.columns else F.try_element_at(F.create_map(*[v for k, w in MASS.items() for v in (F.lit(k), F.lit(w))]), F.col("symbol"))
         return self.atoms.join(self.select(text), ["mol_id", "idx"], "left_semi").groupBy("mol_id").agg(F.sum(value).alias("total"))
+
+    def summary(self) -> DataFrame:
+        """(mol_id, atoms, donors, acceptors, lipophilic, polar, heavy): how many atoms of each kind a molecule has."""
+        out = self.count("all").withColumnRenamed("n", "atoms")
+        for name, text in (("donors", "donor"), ("acceptors", "acceptor"), ("lipophilic", "lipo"), ("polar", "polar"), ("heavy", "heavy")):
+            out = out.join(self.count(text).withColumnRenamed("n", name), "mol_id")
+        return out

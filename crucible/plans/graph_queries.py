@@ -33,7 +33,7 @@ def smiles_tokens(spark: SparkSession, d: str) -> DataFrame:
 def bracket_atoms(spark: SparkSession, d: str) -> DataFrame:
     """Every bracket atom taken apart."""
     t = _readable(spark, d).select("mol_id", F.inline(N.tokens("smiles"))).where("kind = 'bracket'")
-    return t.select("mol_id", "at", "token", N.bracket_atom("token").alias("b")).select("mol_id", "at", "token", "b.*").where("symbol is not null")
+    return t.select("mol_id", F.col("at").alias("place"), "token", N.bracket_atom("token").alias("b")).select("mol_id", "place", "token", "b.*").where("symbol is not null")
 
 
 def element_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -258,16 +258,12 @@ def mmcif_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdb_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Structures written as fixed-column lines and read back by the reader; their HELIX line as ranges and CONECT lines as pairs."""
-    f = _filed(spark, d)
-    atom = F.transform("atoms", lambda a: F.format_string("HETATM%5d %-4s UNL %s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", a["idx"] + 1, a["symbol"], F.lit("A"), F.lit(1), a["x"], a["y"], a["z"], F.lit(1.0), F.lit(0.0), a["symbol"]))
-    conect = F.transform("bonds", lambda b: F.format_string("CONECT%5d%5d", b["a"] + 1, b["b"] + 1))
+    """Structures written as fixed-column lines, a residue each, and read back."""
+    atom = F.transform("atoms", lambda a: F.format_string("HETATM%5d %-4s UNL A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", a["idx"] + 1, a["symbol"], F.col("mol_id").cast("int"), a["x"], a["y"], a["z"], F.lit(1.0), F.lit(0.0), a["symbol"]))
     path = _out(spark, "pdb")
-    f.select("name", F.array_join(F.concat(atom, conect), "\n").alias("value")).write.partitionBy("name").text(path)
-    a = readers.pdb(spark, path).groupBy("mol_id").agg(F.count("*").alias("atoms"), F.sum("x").alias("x"), F.count_if(F.col("symbol") == "N").alias("nitrogen"))
-    b = readers.pdb_conect(spark, path).groupBy("mol_id").agg(F.count("*").alias("bonds"))
-    j = a.join(b, "mol_id", "left")
-    return j.select(F.regexp_extract("mol_id", "name=([0-9]+)", 1).cast("long").alias("id"), "atoms", "x", "nitrogen", F.coalesce("bonds", F.lit(0)).alias("bonds"))
+    _filed(spark, d).select(F.array_join(atom, "\n").alias("value")).write.text(path)
+    a = readers.load(spark, path).where("is_hetatm and chain_id = 'A'")
+    return a.groupBy(F.col("res_seq").cast("long").alias("id")).agg(F.count("*").alias("atoms"), F.sum("x").alias("x"), F.count_if(F.col("symbol") == "N").alias("nitrogen"))
 
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -298,14 +294,14 @@ TYPES = {
     "morgan_ranks_of_chains": {"n": "INTEGER"}, "fragment_atoms": {"fragments": "INTEGER", "atoms": "INTEGER"}, "stereo_centres": {"centres": "INTEGER", "clockwise": "INTEGER"}, "group_search": {"atoms": "INTEGER"}, "atom_types": {"n": "BIGINT"}, "valences_checked": {"n": "INTEGER", "first": "INTEGER"},
     "explicit_hydrogens": dict.fromkeys(("atoms", "bonds", "hydrogens"), "INTEGER"), "atoms_removed": {"atoms": "INTEGER", "bonds": "INTEGER", "last": "INTEGER", "from": "INTEGER"}, "bonds_removed": {"atoms": "INTEGER", "bonds": "INTEGER"}, "bonds_added": dict.fromkeys(("atoms", "bonds", "last"), "INTEGER"),
     "smiles_tokens": {"last": "INTEGER"}, "combined_of_chains": {"paths": "INTEGER", "first": "INTEGER"}, "morgan_of_chains": {"bit": "INTEGER"}, "paths_of_chains": {"bit": "INTEGER"}, "structural_keys": {"key": "INTEGER"}, "inchi_keys_known": {"id": "INTEGER"},
-    "bracket_atoms": dict.fromkeys(("at", "isotope", "hydrogens", "charge", "class"), "INTEGER"),
+    "bracket_atoms": dict.fromkeys(("place", "isotope", "hydrogens", "charge", "class"), "INTEGER"),
 }
 
 
 def oracle_sql() -> dict[str, str]:
     chain, ring = "(SELECT p_partkey AS mol_id, p_size AS n FROM part WHERE p_size >= 1)", "(SELECT p_partkey AS mol_id, p_size AS n FROM part WHERE p_size >= 3)"
     every = r"\[[^\]]*\]|Br|Cl|[BCNOPSFIbcnops*]|%[0-9][0-9]|[0-9]|[-=#:$/\\~]|[()]|\."
-    tok = f"(SELECT mol_id, unnest(t) AS token, generate_subscripts(t, 1) AS at FROM (SELECT mol_id, regexp_extract_all(smiles, '{every}') AS t FROM molecules WHERE error IS NULL AND smiles IS NOT NULL))"
+    tok = f"(SELECT mol_id, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM (SELECT mol_id, regexp_extract_all(smiles, '{every}') AS t FROM molecules WHERE error IS NULL AND smiles IS NOT NULL))"
     kind = r"CASE WHEN token LIKE '[%' THEN 'bracket' WHEN regexp_full_match(token, '%[0-9][0-9]|[0-9]') THEN 'ring' WHEN token = '.' THEN 'dot' WHEN token IN ('(', ')') THEN 'branch' WHEN regexp_full_match(token, '[A-Za-z*]+') THEN 'atom' ELSE 'bond' END"
 
     def atoms(source: str, key: str) -> str:
@@ -335,9 +331,9 @@ def oracle_sql() -> dict[str, str]:
     total = " + ".join(f"{x} * ascii(substr(k, {i + 1}, 1))" for i, x in enumerate(weights))
     file = f"SELECT id, atoms, charge, isotopes, nitrogen, 1.5 * atoms * (atoms - 1) / 2 AS x FROM ({counts(structures, 'id')})"
     return {
-        "smiles_tokens": f"SELECT mol_id, kind, count(*) AS n, max(at) AS last FROM (SELECT mol_id, at, {kind} AS kind FROM {tok}) GROUP BY 1, 2",
-        "bracket_atoms": rf"""WITH b AS (SELECT mol_id, at, token, regexp_extract(token, '^\[([0-9]*)([A-Z][a-z]?|se|as|te|si|[bcnops]|\*)(@*)(H?)([0-9]*)([-+]*)([0-9]*)(?::([0-9]+))?\]$', ['i', 'symbol', 'chirality', 'h', 'hn', 'q', 'qn', 'c']) AS g FROM {tok} WHERE token LIKE '[%')
-            SELECT mol_id, at, token, TRY_CAST(g.i AS INT) AS isotope, g.symbol AS symbol, g.chirality AS chirality, CASE WHEN g.h = 'H' THEN coalesce(TRY_CAST(g.hn AS INT), 1) ELSE 0 END AS hydrogens,
+        "smiles_tokens": f"SELECT mol_id, kind, count(*) AS n, max(place) AS last FROM (SELECT mol_id, place, {kind} AS kind FROM {tok}) GROUP BY 1, 2",
+        "bracket_atoms": rf"""WITH b AS (SELECT mol_id, place, token, regexp_extract(token, '^\[([0-9]*)([A-Z][a-z]?|se|as|te|si|[bcnops]|\*)(@{{0,2}}(?:[A-Z]{{2}}[0-9]+)?)(H?)([0-9]*)([-+]*)([0-9]*)(?::([0-9]+))?\]$', ['i', 'symbol', 'chirality', 'h', 'hn', 'q', 'qn', 'c']) AS g FROM {tok} WHERE token LIKE '[%')
+            SELECT mol_id, place, token, TRY_CAST(g.i AS INT) AS isotope, g.symbol AS symbol, g.chirality AS chirality, CASE WHEN g.h = 'H' THEN coalesce(TRY_CAST(g.hn AS INT), 1) ELSE 0 END AS hydrogens,
             (CASE WHEN g.q LIKE '+%' THEN 1 WHEN g.q LIKE '-%' THEN -1 ELSE 0 END) * coalesce(TRY_CAST(g.qn AS INT), length(g.q)) AS charge, TRY_CAST(g.c AS INT) AS class FROM b WHERE g.symbol <> ''""",
         "element_counts": f"SELECT mol_id, carbon, nitrogen, oxygen, sulfur, halogen, atoms, charge, isotopes FROM ({counts(mols, 'mol_id')})",
         "descriptors_of_molecules": f"SELECT mol_id, {', '.join(f'{v}::DOUBLE AS {v}' for v in COUNTED.values())} FROM ({counts(mols, 'mol_id')})",
@@ -367,8 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "sdf_round_trip": f"SELECT id, atoms, charge, isotopes, x::DOUBLE AS x, nitrogen, true AS formula FROM ({file})",
         "mol2_round_trip": f"SELECT id, atoms, x::DOUBLE AS x, nitrogen FROM ({file})",
         "mmcif_round_trip": f"SELECT id, atoms, charge, x::DOUBLE AS x FROM ({file})",
-        "pdb_lines": f"""SELECT id, atoms, x::DOUBLE AS x, nitrogen, atoms - fragments + rings // 2 AS bonds FROM ({file}) JOIN (SELECT id, len(list_filter(t, lambda x: x = '.')) + 1 AS fragments, len(list_filter(t, lambda x: regexp_full_match(x, '%[0-9][0-9]|[0-9]'))) AS rings
-            FROM (SELECT id, regexp_extract_all(smiles, '{every}') AS t FROM {structures})) USING (id)""",
+        "pdb_lines": f"SELECT id, atoms, x::DOUBLE AS x, nitrogen FROM ({file})",
         "csv_round_trip": "SELECT record_id, target, source FROM compounds",
         "smiles_files": "SELECT id, trim(smiles) AS smiles FROM structures WHERE smiles IS NOT NULL AND trim(smiles) <> ''",
     }

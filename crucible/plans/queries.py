@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crucible.operators import units
-from crucible.plans import graph_queries, molecule_queries, table_queries
+from crucible.plans import graph_queries, molecule_queries, more_queries, table_queries
 from crucible.plans.molecule_queries import mol_basic  # noqa: F401
 from crucible.runtime import table
 
@@ -25,7 +25,7 @@ def p2_conversions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)} | molecule_queries.queries() | graph_queries.queries() | table_queries.queries()
+    return {f.__name__: f for f in (p2_found, p2_converted, p2_conversions)} | molecule_queries.queries() | graph_queries.queries() | more_queries.queries() | table_queries.queries()
 
 
 #: Columns whose SQL type is narrower or another than the query's, by query.
@@ -38,7 +38,7 @@ TYPES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = units.oracle_sql() | molecule_queries.oracle_sql() | graph_queries.oracle_sql() | table_queries.oracle_sql()
-    for name, types in (TYPES | graph_queries.TYPES).items():
+    sql = units.oracle_sql() | molecule_queries.oracle_sql() | graph_queries.oracle_sql() | more_queries.oracle_sql() | table_queries.oracle_sql()
+    for name, types in (TYPES | graph_queries.TYPES | more_queries.TYPES).items():
         sql[name] = f"SELECT * REPLACE ({', '.join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items())}) FROM ({sql[name]})"
     return sql
