@@ -44,8 +44,9 @@ def volume(xyz: np.ndarray, symbols: list[str], samples: int = 10_000, seed: int
     r = np.array([(element(s) or element("C")).vdw_radius for s in symbols])
     lo, hi = (xyz - r[:, None]).min(axis=0), (xyz + r[:, None]).max(axis=0)
     p, inside = lo + np.random.default_rng(seed).random((samples, 3)) * (hi - lo), np.zeros(samples, bool)
-    for c, q in zip(xyz, r, strict=True):
-        inside |= ((p - c) ** 2).sum(axis=1) <= q * q
+    for at in range(0, len(xyz), 64):
+        c, q = xyz[at : at + 64], r[at : at + 64]
+        inside |= ((p * p).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * p @ c.T <= (q * q)[None, :]).any(axis=1)
     return float(inside.mean() * np.prod(hi - lo))
 
 
