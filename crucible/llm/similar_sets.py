@@ -38,10 +38,27 @@ def met(similarity: Column, depth: int, trees: int) -> Column:
     return 1 - F.pow(1 - F.pow(similarity, depth), trees)
 
 
-def pieces(text: Column, width: int) -> Column:
-    """The distinct substrings of that many characters."""
-    n = F.length(text)
-    return F.when(n >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+def _verified(width: int, threshold: float):
+    """Worker: (x, y, s, t) to (x, y, similarity) of the pairs whose sets of pieces are similar enough; a text met again is cut once."""
+
+    def pieces(t: str) -> frozenset[str]:
+        return frozenset(t[i : i + width] for i in range(len(t) - width + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known: dict[str, frozenset[str]] = {}
+            keep, out = [], []
+            for i, (s, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                p, q = (known[u] if u in known else known.setdefault(u, pieces(u)) for u in (s, t))
+                c = len(p & q)
+                v = c / (len(p) + len(q) - c)
+                if v >= threshold:
+                    keep.append(i)
+                    out.append(v)
+            own = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(out, pa.float64())], ["x", "y", "similarity"])
+
+    return run
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -248,12 +265,11 @@ def similar_texts(texts: DataFrame, width: int = 6, threshold: float = 0.7, reca
     near = near.join(s.select(F.col("tid").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p")), "x").join(s.select(F.col("tid").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q")), "y")
     near = written(near.where(differ <= most).select("x", "y", "deeper"))
     found: DataFrame | None = None
+    verify = _verified(width, threshold)
     for deeper in range(DEEPER, -1, -1):
         pairs = near.where(F.col("deeper") == deeper).select("x", "y")
         pairs = pairs.join(s.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(s.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
-        pairs = pairs.select("x", "y", pieces(F.col("s"), width).alias("s"), pieces(F.col("t"), width).alias("t"))
-        pairs = pairs.select("x", "y", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))
-        pairs = written(pairs.select("x", "y", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold))
+        pairs = written(pairs.select("x", "y", "s", "t").mapInArrow(verify, "x long, y long, similarity double"))
         found = pairs if found is None else found.union(pairs)
         if deeper:
             n, all_of = found.agg(F.count("*"), F.sum(1 / met(F.col("similarity"), depth + deeper, trees))).first()
