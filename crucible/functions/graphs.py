@@ -149,3 +149,21 @@ def with_bonds(mols, new):  # noqa: ANN001, ANN201
     fresh = F.filter(F.coalesce("new", F.expr("cast(array() as array<struct<a:int,b:int,order_kek:int>>)")), lambda x: ~F.array_contains(there, F.struct(x["a"].alias("a"), x["b"].alias("b"))) & (x["a"] >= 0) & (x["b"] < F.size("atoms")))
     added = F.transform(fresh, lambda x, i: F.struct((F.size("bonds") + i).cast("int").alias("idx"), x["a"].alias("a"), x["b"].alias("b"), x["order_kek"].cast("int").alias("order_kek"), F.lit(False).alias("aromatic"), F.lit(False).alias("in_ring")))
     return m.withColumn("bonds", F.concat("bonds", added)).drop("new")
+
+
+def optimised(smiles: Column | str, rounds: int = 60) -> Column:
+    """(converged, energy by term, coordinates) of each molecule minimised in the force field of crucible.chem.forcefield; null where the text can't be read."""
+    from crucible.functions.molecules import shipped
+
+    shipped()
+
+    @F.pandas_udf("struct<converged:boolean,terms:map<string,double>,xyz:array<array<double>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from crucible.chem.forcefield import optimised as f
+
+        for s in batches:
+            got = _each(s, lambda m: f(m, rounds))
+            rows = [(None, None, None) if g is None else (g[2], g[1], g[0].tolist()) for g in got]
+            yield pd.DataFrame(rows, columns=["converged", "terms", "xyz"])
+
+    return run(smiles)

@@ -40,8 +40,11 @@ def p_activity(value: Column | str, factor: float = 1e-9) -> Column:
     return F.when(v > 0, -F.log10(v * factor))
 
 
-def curate(df: DataFrame, key_col: str, value_col: str, keep: Column | None = None, low: float | None = None, high: float | None = None, how: str = "median") -> DataFrame:
-    """Filter, then one row a key: (key, value, n). how is mean, median, min or max."""
+def curate(df: DataFrame, key_col: str, value_col: str, keep: Column | None = None, low: float | None = None, high: float | None = None, how: str = "median", first_of: tuple[str, ...] = (), order_col: str | None = None) -> DataFrame:
+    """Filter, then one row a key: (key, value, n, first_of...). how is mean, median, min or max.
+
+    first_of are further columns of which the first value that isn't null is kept, in the order of order_col.
+    """
     d = df.where(F.col(value_col).isNotNull() & F.col(key_col).isNotNull())
     if keep is not None:
         d = d.where(keep)
@@ -50,7 +53,17 @@ def curate(df: DataFrame, key_col: str, value_col: str, keep: Column | None = No
     if high is not None:
         d = d.where(F.col(value_col) <= high)
     f = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[how]
-    return d.groupBy(key_col).agg(f(value_col).alias("value"), F.count("*").alias("n"))
+    if first_of and order_col is None:
+        raise ValueError("first_of needs order_col")
+    extra = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order_col))).alias(c) for c in first_of]
+    return d.groupBy(key_col).agg(f(value_col).alias("value"), F.count("*").alias("n"), *extra)
+
+
+def curate_molecules(df: DataFrame, smiles_col: str, value_col: str, **kw) -> DataFrame:  # noqa: ANN003
+    """As `curate` with molecules as keys: rows whose text can't be read are left out, writings of one molecule are one row."""
+    from crucible.functions.molecule_key import molecule_key
+
+    return curate(df.withColumn("molecule", molecule_key(smiles_col)), "molecule", value_col, **kw)
 
 
 def standardise(df: DataFrame, cols: list[str], least: float = 1e-6) -> DataFrame:

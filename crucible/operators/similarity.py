@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # query vectors that are sent to the workers at once
+BLOCK = 1024  # query vectors of a block; blocks of rows are twice as large
 
 
 def tanimoto(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -24,10 +24,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def distances(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Rows of x against queries: euclidean, cityblock, cosine, hamming, tanimoto or dice."""
-    if metric == "cityblock":
-        return np.abs(x[:, None, :] - queries[None, :, :]).sum(axis=2)
-    if metric == "hamming":
-        return (x[:, None, :] != queries[None, :, :]).mean(axis=2)
+    if metric in ("cityblock", "hamming"):
+        out = np.empty((len(x), len(queries)))
+        step = max(1, (1 << 22) // max(1, queries.size))  # so that differences take some 32 MB at a time
+        for at in range(0, len(x), step):
+            d = x[at : at + step, None, :] - queries[None, :, :]
+            out[at : at + step] = np.abs(d).sum(axis=2) if metric == "cityblock" else (d != 0).mean(axis=2)
+        return out
     # not by BLAS, whose last bits depend on a row's place: equal rows must be equally far
     p, a, b = np.einsum("id,jd->ij", x, queries), (x * x).sum(axis=1)[:, None], (queries * queries).sum(axis=1)[None, :]
     if metric == "euclidean":
@@ -41,53 +44,42 @@ def distances(queries: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+def _packed(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """(prefix_ids, prefix_vectors): about `size` rows (id, v) a block, dealt by a hash of the id."""
+    blocks = max(1, -(-rows.count() // size))
+    g = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return g.select(F.col("r")["id"].alias(f"{prefix}_ids"), F.flatten(F.col("r")["v"]).alias(f"{prefix}_vectors"))
+
+
 def nearest(rows: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "euclidean", queries: DataFrame | None = None) -> DataFrame:
     """(query, id, distance, rank): the k nearest rows of every query row, itself excluded; ties by id.
 
-    By default the queries are the rows whose id is divisible by 100. They are met in blocks of `BLOCK`, each sent once, and
-    every task keeps k candidates a query, so the shuffle holds k rows a query and task. Null vectors are left out.
+    By default the queries are the rows whose id is divisible by 100. Blocks of about `BLOCK` queries meet blocks of about
+    twice as many rows, a task several pairs of blocks; a pair gives k rows a query, and the k nearest of these are kept
+    before and after the shuffle. Nothing passes through the driver; Spark sends the query blocks to all tasks where its own
+    size check allows. Null vectors are left out; vectors must have one length.
     """
-    x = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    q = (queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")) if queries is not None else x.where("id % 100 = 0")).where("v is not null")
-    out, block = None, []
-
-    def search(block: list) -> DataFrame:
-        sent = rows.sparkSession.sparkContext.broadcast((np.array([r.id for r in block]), np.array([r.v for r in block], float)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors = sent.value
-            best: pd.DataFrame | None = None
-            for b in batches:
-                if not len(b):
-                    continue
-                for at in range(0, len(b), 4096):
-                    own = b.iloc[at : at + 4096]
-                    d = distances(vectors, np.array(own["v"].tolist(), float), metric)
-                    mine = own["id"].to_numpy()
-                    d[(mine[:, None] == ids[None, :]) | ~np.isfinite(d)] = np.inf
-                    keep = min(k, len(mine))
-                    # all rows nearer than the k-th, filled up by the smallest ids of those as near
-                    order = np.argsort(mine, kind="stable")
-                    d, mine = d[order], mine[order]
-                    last = np.partition(d, keep - 1, axis=0)[keep - 1]
-                    tied = d == last
-                    top = (d < last) | (tied & (np.cumsum(tied, axis=0) <= keep - (d < last).sum(axis=0)))
-                    row, col = np.nonzero(top & np.isfinite(d))
-                    new = pd.DataFrame({"query": ids[col], "id": mine[row], "distance": d[row, col]})
-                    best = new if best is None else pd.concat([best, new])
-                    best = best.sort_values(["query", "distance", "id"]).groupby("query").head(k)
-            if best is not None:
-                yield best
-
-        return x.mapInPandas(run, "query long, id long, distance double")
-
-    for r in q.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out = search(block) if out is None else out.union(search(block))
-            block = []
-    if block or out is None:
-        out = search(block) if block and out is None else out.union(search(block)) if block else x.limit(0).select(F.col("id").alias("query"), "id", F.lit(0.0).alias("distance"))
+    x = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    q = (queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")) if queries is not None else x.where("id % 100 = 0")).where("v is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, vectors, own, mine in zip(b["q_ids"], b["q_vectors"], b["r_ids"], b["r_vectors"], strict=True):
+                ids, own = np.asarray(ids), np.asarray(own)
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                d = distances(np.asarray(vectors, float).reshape(len(ids), -1), np.asarray(mine, float).reshape(len(own), -1)[order], metric)
+                d[(own[:, None] == ids[None, :]) | ~np.isfinite(d)] = np.inf
+                keep = min(k, len(own))
+                # all rows nearer than the k-th, filled up by the smallest ids of those as near
+                last = np.partition(d, keep - 1, axis=0)[keep - 1]
+                tied = d == last
+                top = (d < last) | (tied & (np.cumsum(tied, axis=0) <= keep - (d < last).sum(axis=0)))
+                row, col = np.nonzero(top & np.isfinite(d))
+                yield pd.DataFrame({"query": ids[col], "id": own[row], "distance": d[row, col]})
+
+    pairs = _packed(x, 2 * BLOCK, "r").crossJoin(_packed(q, BLOCK, "q"))  # blocks of a stated query set against blocks of all rows
+    out = pairs.mapInPandas(run, "query long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

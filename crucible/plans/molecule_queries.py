@@ -21,13 +21,14 @@ def _made(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def mol_basic(spark: SparkSession, d: str) -> DataFrame:
-    """Weight, formula and heavy atoms of every part's alkane, through atoms and an element table."""
+    """Weight, formula and heavy atoms of every part's alkane, from its array of atoms and a literal table of elements; no shuffle."""
     from crucible.chem.elements import MASS
 
     m = M.molecules(_made(spark, d, "chain"), "mol_id", "smiles")
-    mass = spark.createDataFrame(list(MASS.items()), "symbol string, mass double")
-    a = m.select("mol_id", "formula", F.inline("atoms")).join(F.broadcast(mass), "symbol")
-    return a.groupBy("mol_id", "formula").agg(F.round(F.sum(F.col("mass") + 1.008 * F.col("n_h")), 4).alias("weight"), F.count("*").alias("heavy"), F.sum("n_h").alias("hydrogens"))
+    mass = F.create_map(*[F.lit(x) for kv in MASS.items() for x in kv])
+    weight = F.aggregate("atoms", F.lit(0.0), lambda acc, a: acc + F.coalesce(F.try_element_at(mass, a["symbol"]), F.lit(0.0)) + 1.008 * a["n_h"])
+    hydrogens = F.aggregate("atoms", F.lit(0).cast("long"), lambda acc, a: acc + a["n_h"])
+    return m.where("error is null").select("mol_id", "formula", F.round(weight, 4).alias("weight"), F.size(F.filter("atoms", lambda a: a["symbol"] != "H")).cast("long").alias("heavy"), hydrogens.alias("hydrogens"))
 
 
 def _descriptors(kind: str, names: dict[str, str]):  # noqa: ANN202

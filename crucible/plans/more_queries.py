@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crucible.functions import molecules as M
 from crucible.operators import dataset as D
 from crucible.operators import embedding as E
+from crucible.operators import models as Q
 from crucible.operators import residues as R
 from crucible.operators import similarity as S
 from crucible.operators import statistics as T
@@ -344,8 +345,71 @@ def isolated(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.count("*").alias("n"), F.max_by("id", "score").alias("top"), F.count_if((F.col("score") <= 0) | (F.col("score") >= 1)).alias("outside"))
 
 
+# --- models ------------------------------------------------------------------------
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def loo_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Least squares of price on quantity, each row held out in turn."""
+    r = Q.leave_one_out(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return r.select("n", F.round(F.sqrt(F.col("press") / F.col("n")), 3).alias("rmse"), F.round("q2", 7).alias("q2"))
+
+
+def fold_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Folds by hash: rows, and whether the whole error lies between the folds' and beside the fit's own."""
+    r = Q.cross_validate(table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "k", FEATURES, "l_extendedprice")
+    all_ = r.where("fold = -1").select(F.col("rmse").alias("whole"), F.col("n").alias("total"))
+    return r.where("fold >= 0").crossJoin(F.broadcast(all_)).agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.count("*").alias("folds"), ((F.min("rmse") <= F.max("whole")) & (F.max("whole") <= F.max("rmse"))).alias("inside"))
+
+
+def pls_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Partial least squares with all components is least squares."""
+    m = Q.Moments.by_fold(table(spark, d, "lineitem"), FEATURES, "l_extendedprice")[0]
+    (w, b), (v, c) = m.pls(3), m.ridge()
+    one = Q.Moments.by_fold(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")[0].pls(1)
+    return spark.createDataFrame([(bool(abs(w - v).max() < 1e-6 * abs(v).max() and abs(b - c) < 1e-3), round(float(one[0][0]), 4), round(one[1], 3))], "same boolean, slope double, intercept double")
+
+
+def genes(spark: SparkSession, d: str) -> DataFrame:
+    """The genetic search over three features finds what all their subsets give."""
+    return spark.createDataFrame([(c,) for c in Q.select_by_genes(table(spark, d, "lineitem"), FEATURES, "l_extendedprice", most=1)], "feature string")
+
+
+def foxes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in Q.select_by_foxes(table(spark, d, "lineitem"), FEATURES, "l_extendedprice", 1)], "feature string")
+
+
+def chance_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Shuffled targets fit worse than the true ones."""
+    li = table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("made", F.col("l_quantity") * 3 + F.col("l_tax") * F.col("l_discount"))
+    r = Q.shuffled_targets(li, "k", FEATURES, "made", 3)
+    return r.agg(F.count("*").alias("trials"), (F.max(F.when(F.col("trial") > 0, F.col("r2"))) < F.max(F.when(F.col("trial") == 0, F.col("r2")))).alias("worse"))
+
+
+def flag_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Return flags from quantities and taxes: both sets are judged."""
+    li = table(spark, d, "lineitem").withColumn("s", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+    r = Q.classification(li, ["l_quantity", "l_tax"], "l_returnflag", "s", "bayes", "Ternary")
+    return r.select("set", F.col("accuracy").between(0, 1).alias("sane"))
+
+
+def curated_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Results by molecule whatever its writing: rows that count."""
+    a = table(spark, d, "activities").where("standard_units = 'nM' and ic50 > 0")
+    r = D.curate_molecules(spread(a), "smiles", "ic50", how="max", first_of=("source",), order_col="activity_id")
+    return r.agg(F.max("value").alias("most"), F.count_if(F.col("n") < 1).alias("empty"))
+
+
+def exclusion_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of atoms one, two and three bonds apart in the chains."""
+    p = M.shortest_paths(_made(spark, d, "chain"), "mol_id", "smiles").where("d <= 3")
+    return p.groupBy("mol_id", "d").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     own = (
+        loo_fit, fold_fit, pls_fit, genes, foxes, chance_fits, flag_classes, curated_molecules, exclusion_pairs,
         backbone_torsions, torsion_regions, backbone_bonds, residue_letters, residue_pairs, secondary_structures, selected_atoms, contact_residues, polar_contacts, auto_bonded, mass_centres, radial_bins, radial_mean, ligand_ranks, short_runs, atom_summary,
         random_shares, packed_brands, scaffold_split, compound_scaffold_split, split_engine, boruta_split, side_by_side, pruned_bits, percent_of_splits, target_ks, residuals, external_tests, fit_scores, domain, multiclass, precision_area, class_sizes, score_matrix,
         tanimoto_knn, dice_knn, hamming_knn, bit_similarity, alcohol_charges, polar_surface, charge_descriptors, space_descriptors, umap_map, umap_placed, fuzzy_weights, curve_fit, isolated,
@@ -354,6 +418,7 @@ def queries() -> dict:
 
 
 TYPES = {
+    "exclusion_pairs": {"d": "INTEGER", "n": "BIGINT"},
     "residue_letters": {"res_seq": "INTEGER", "serial": "INTEGER"}, "residue_pairs": {"serial": "INTEGER", "r_serial": "INTEGER"}, "backbone_torsions": {"res_seq": "INTEGER"}, "backbone_bonds": {"res_seq": "INTEGER"}, "contact_residues": {"res_seq": "INTEGER"}, "auto_bonded": {"a": "INTEGER", "b": "INTEGER"},
     "radial_bins": {"last": "INTEGER"}, "ligand_ranks": {"rank": "INTEGER"}, "class_sizes": {"checked": "INTEGER"}, "tanimoto_knn": {"rank": "INTEGER"}, "dice_knn": {"rank": "INTEGER"}, "hamming_knn": {"rank": "INTEGER"}, "umap_map": {"dims": "INTEGER"}, "pruned_bits": {"bit": "INTEGER"},
     "side_by_side": {"place": "BIGINT"}, "torsion_regions": {"n": "BIGINT", "named": "BIGINT"}, "secondary_structures": {"n": "BIGINT", "coil": "BIGINT"}, "selected_atoms": {"n": "BIGINT"}, "mass_centres": {"mass": "DOUBLE"}, "atom_summary": dict.fromkeys(("atoms", "donors", "acceptors", "lipophilic", "polar", "heavy"), "BIGINT"),
@@ -447,5 +512,14 @@ def oracle_sql() -> dict[str, str]:
         "umap_placed": "SELECT count(*) AS n, 0::BIGINT AS missing FROM embeddings",
         "fuzzy_weights": "SELECT count(*) AS rows, 1.0::DOUBLE AS most, 0::BIGINT AS lopsided FROM embeddings",
         "curve_fit": "SELECT * FROM (VALUES (1.0::DOUBLE, 0.1::DOUBLE, 1.577::DOUBLE, 0.895::DOUBLE), (1.0, 0.5, 0.583, 1.334)) AS t(spread, min_dist, a, b)",
+        "loo_fit": """WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS ss, count(*) AS n, var_pop(l_extendedprice) * count(*) AS t FROM lineitem),
+            e AS (SELECT ((l_extendedprice - a - b * l_quantity) / (1 - 1.0 / n - (l_quantity - m) ** 2 / ss)) ** 2 AS e2, n, t FROM lineitem, s) SELECT max(n) AS n, round(sqrt(sum(e2) / max(n)), 3) AS rmse, round(1 - sum(e2) / max(t), 7) AS q2 FROM e""",
+        "fold_fit": "SELECT count(*) AS n, count(*) AS total, 5::BIGINT AS folds, true AS inside FROM lineitem",
+        "pls_fit": "SELECT true AS same, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem",
+        "genes": "SELECT f AS feature FROM (SELECT 'l_quantity' AS f, abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_discount, l_extendedprice)) FROM lineitem UNION ALL SELECT 'l_tax', abs(corr(l_tax, l_extendedprice)) FROM lineitem) ORDER BY r DESC LIMIT 1",
+        "foxes": "SELECT f AS feature FROM (SELECT 'l_quantity' AS f, abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem UNION ALL SELECT 'l_discount', abs(corr(l_discount, l_extendedprice)) FROM lineitem UNION ALL SELECT 'l_tax', abs(corr(l_tax, l_extendedprice)) FROM lineitem) ORDER BY r DESC LIMIT 1",
+        "chance_fits": "SELECT 4::BIGINT AS trials, true AS worse",
+        "flag_classes": "SELECT s AS set, true AS sane FROM (SELECT unnest(['train', 'test']) AS s)",
+        "exclusion_pairs": f"SELECT mol_id, d, n - d AS n FROM {chain}, (SELECT unnest([1, 2, 3]) AS d) WHERE n > d",
         "isolated": "SELECT count(*) + 1 AS n, -1::BIGINT AS top, 0::BIGINT AS outside FROM embeddings",
     }
