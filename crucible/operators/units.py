@@ -188,7 +188,7 @@ def same_quantity_pairs(converted: DataFrame, tolerance: float = 0.01) -> DataFr
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same in DuckDB, by the spellings alone."""
+    """The same in DuckDB, by the spellings alone; 'values' is part of other queries' SQL."""
 
     def unit(c: str) -> str:
         return "CASE " + " ".join(f"WHEN lower(trim({c})) IN ({', '.join(repr(n) for n in names)}) THEN '{u}'" for u, names in SPELLINGS.items()) + " END"
@@ -209,6 +209,7 @@ def oracle_sql() -> dict[str, str]:
         n AS (SELECT *, CASE WHEN label IN ('-log10 M', 'log10 M') THEN label ELSE {unit("label")} END AS unit FROM l),
         c AS (SELECT activity_id, molecule_ref, assay_id, unit, said_by, CASE WHEN unit = '-log10 M' THEN pow(10.0, 9 - number) WHEN unit = 'log10 M' THEN pow(10.0, 9 + number) WHEN NOT number > 0 THEN NULL {factor} END AS value_nm FROM n)"""
     return {
+        "values": f"{base} SELECT activity_id, value_nm FROM c",
         "p2_found": f"{base} SELECT a.activity_id AS activity_id_a, b.activity_id AS activity_id_b FROM c a JOIN c b USING (molecule_ref, assay_id) WHERE a.activity_id < b.activity_id AND a.unit <> b.unit AND abs(a.value_nm - b.value_nm) <= 0.01 * greatest(a.value_nm, b.value_nm)",
         "p2_converted": f"{base} SELECT activity_id, unit, said_by, CASE WHEN value_nm IS NOT NULL THEN round(log10(value_nm), 6) END AS log_nm FROM c",
     }

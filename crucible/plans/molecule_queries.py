@@ -138,6 +138,22 @@ def all_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return M.descriptor_table(spread(table(spark, d, "structures")), "id", "smiles", names())
 
 
+def all_descriptors_of_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """All descriptors that need no coordinates, of the whole molecules table."""
+    from crucible.chem.descriptors import FAMILIES, names
+
+    m = spread(table(spark, d, "molecules").where("error is null and smiles is not null"))
+    return M.descriptor_table(m, "mol_id", "smiles", names(tuple(f for f in FAMILIES if f != "space")))
+
+
+def groups_of_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Scaffold, functional groups and graph of every real molecule."""
+    from crucible.functions import graphs as H
+
+    m = spread(table(spark, d, "molecules").where("error is null and smiles is not null"))
+    return m.select("mol_id", M.scaffold("smiles").alias("scaffold"), F.transform(H.of_molecule("smiles", "functional_groups"), lambda g: g["name"]).alias("groups"), F.size(M.substructure_matches("smiles", "C(=O)N")).alias("amides"), H.graph_properties("smiles").alias("graph"))
+
+
 def molecule_weights(spark: SparkSession, d: str) -> DataFrame:
     """Molecules that can't be read keep a row with null values and the reason."""
     m = M.molecules(spread(table(spark, d, "molecules")), "mol_id", "smiles")
@@ -191,7 +207,7 @@ def queries() -> dict:
     own = (
         graph_of_chains, graph_of_rings, sql_functions, udtf_substructure,
         mol_basic, wiener_by_edges, zagreb_by_degrees, atom_table, bond_table, sele_and_or_not, sele_bonded, sele_within_bonds, sele_ring, sum_prop, substructure_semi_join, substructure_paths, scaffold_of_rings, smiles_round_trip,
-        morgan_fingerprints, descriptor_table, all_descriptors, molecule_weights, structure_synonyms, structure_lookup,
+        morgan_fingerprints, descriptor_table, all_descriptors, all_descriptors_of_molecules, groups_of_molecules, molecule_weights, structure_synonyms, structure_lookup,
     )
     q = {f.__name__: f for f in own}
     return q | {"descriptors_chain": _descriptors("chain", CHAIN), "descriptors_ring": _descriptors("ring", RING), "descriptors_alcohol": _descriptors("alcohol", ALCOHOL)}

@@ -521,5 +521,8 @@ def oracle_sql() -> dict[str, str]:
         "chance_fits": "SELECT 4::BIGINT AS trials, true AS worse",
         "flag_classes": "SELECT s AS set, true AS sane FROM (SELECT unnest(['train', 'test']) AS s)",
         "exclusion_pairs": f"SELECT mol_id, d, n - d AS n FROM {chain}, (SELECT unnest([1, 2, 3]) AS d) WHERE n > d",
+        "packed_brands": """WITH RECURSIVE g AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1), room AS (SELECT floor(count(*) * 0.8)::BIGINT AS r FROM part),
+            s AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, '' AS side UNION ALL SELECT g.k, CASE WHEN t.take THEN s.used + g.n ELSE s.used END, CASE WHEN t.take THEN 'Train' ELSE 'Test' END FROM s JOIN g ON g.k = s.k + 1, room, LATERAL (SELECT s.used < r AND (s.used + g.n <= r OR s.used + g.n - r < r - s.used) AS take) t)
+            SELECT p_partkey, side AS split_status FROM part JOIN g USING (p_brand) JOIN s ON s.k = g.k""",
         "isolated": "SELECT count(*) + 1 AS n, -1::BIGINT AS top, 0::BIGINT AS outside FROM embeddings",
     }

@@ -38,7 +38,8 @@ TYPES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = units.oracle_sql() | molecule_queries.oracle_sql() | graph_queries.oracle_sql() | more_queries.oracle_sql() | table_queries.oracle_sql()
+    sql = {k: v for k, v in units.oracle_sql().items() if k != "values"} | molecule_queries.oracle_sql() | graph_queries.oracle_sql() | more_queries.oracle_sql() | table_queries.oracle_sql()
+    sql["group_packing"] = sql["packed_brands"]
     for name, types in (TYPES | graph_queries.TYPES | more_queries.TYPES).items():
         sql[name] = f"SELECT * REPLACE ({', '.join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items())}) FROM ({sql[name]})"
     return sql

@@ -28,7 +28,27 @@ def curate_filter_agg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pactivity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "activities").select("activity_id", F.round(D.p_activity("ic50"), 6).alias("p"))
+    """-log10 of every activity in mol/L, whatever the unit it is stated in."""
+    from crucible.operators import units
+
+    c = units.to_common_unit(table(spark, d, "activities"), table(spark, d, "assays"))
+    return c.select("activity_id", F.round(D.p_activity("value_nm"), 5).alias("p"))
+
+
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream with a watermark of ten minutes: counts of the hours that are over."""
+    import os
+    import uuid
+
+    from crucible.runtime import shared_dir
+
+    at = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    e = table(spark, d, "events")
+    source = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = streams.tumbling_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    q = counts.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def standardised(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +261,7 @@ def shapes_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     own = (
-        dbscan_clusters, umap_edges, qsar_regression, pca_variances, kmeans_clusters, shapes_by_label,
+        streamed_counts, dbscan_clusters, umap_edges, qsar_regression, pca_variances, kmeans_clusters, shapes_by_label,
         cleanse_dedup, curate_filter_agg, pactivity, standardised, group_packing, split_stats, random_split, kennard_stone, duplex_split, d_optimal_split, sphere_exclusion_split, feature_variances, top_correlations, pruned_features, ks_two_sample, kl_histogram,
         regression_metrics, external_q2, class_metrics, roc_auc, leverage, embedding_knn, cosine_knn, cityblock_knn, fuzzy_union, bit_frequencies, range_join_dist, interval_join, pair_by_rank, event_islands, dihedral_angles, radius_of_gyration, degree_entropy,
         tumbling_window_count, session_counts,
@@ -250,6 +270,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from crucible.operators import units
+
+    units_sql = units.oracle_sql()["values"]
     trim = "trim(smiles, E' \\t\\n\\r\\x0b\\x0c')"
     reg = "SELECT l_returnflag, l_linenumber, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem"
     knn = "SELECT a.vec_id AS query, b.vec_id AS id, {d} AS dd, row_number() OVER (PARTITION BY a.vec_id ORDER BY {d}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id"
@@ -265,7 +288,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT mol_id, round(max(rg), 6) AS rg, round(avg(dd), 6) AS mean_distance, round(max(dd), 6) AS diameter FROM p JOIN g USING (mol_id) GROUP BY 1""",
         "cleanse_dedup": f"SELECT record_id, smiles FROM (SELECT record_id, {trim} AS smiles, row_number() OVER (PARTITION BY {trim} ORDER BY record_id) AS k FROM compounds WHERE smiles IS NOT NULL AND {trim} <> '') WHERE k = 1",
         "curate_filter_agg": "SELECT molecule_ref, round(median(ic50), 6) AS value, count(*) AS n FROM activities WHERE ic50 IS NOT NULL AND molecule_ref IS NOT NULL AND standard_type = 'IC50' AND standard_units = 'nM' AND replace(standard_relation, '''', '') = '=' AND ic50 >= 0.001 GROUP BY molecule_ref",
-        "pactivity": "SELECT activity_id, CASE WHEN ic50 > 0 THEN round(-log10(ic50 * 1e-9), 6) END AS p FROM activities",
+        "pactivity": f"SELECT activity_id, CASE WHEN value_nm > 0 THEN round(-log10(value_nm * 1e-9), 5) END AS p FROM ({units_sql})",
+        "streamed_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+        "leverage": "SELECT 64.0::DOUBLE AS rank, count(*) AS n FROM embeddings",
+        "dihedral_angles": f"""WITH e AS (SELECT vec_id, {', '.join(f'embedding[{3 * k + i + 1}]::DOUBLE AS p{k}{c}' for k in range(4) for i, c in enumerate('xyz'))} FROM embeddings),
+            b AS (SELECT vec_id, {', '.join(f'p{k + 1}{c} - p{k}{c} AS b{k}{c}' for k in range(3) for c in 'xyz')} FROM e), n AS (SELECT vec_id, b1x, b1y, b1z, {', '.join(f'b{k}{u} * b{k + 1}{v} - b{k}{v} * b{k + 1}{u} AS n{k}{w}' for k in range(2) for u, v, w in ('yzx', 'zxy', 'xyz'))} FROM b)
+            SELECT vec_id, round((n0x * n1x + n0y * n1y + n0z * n1z) / sqrt((n0x ** 2 + n0y ** 2 + n0z ** 2) * (n1x ** 2 + n1y ** 2 + n1z ** 2)), 5) AS cos FROM n""",
         "standardised": f"WITH c AS ({c0}), m AS (SELECT {mom} FROM c) SELECT record_id, {z} FROM c, m",
         "split_stats": "SELECT lower(trim(split)) AS s, count(*) AS n, round(avg(target), 6) AS mean, round(stddev_pop(target), 6) AS std FROM compounds GROUP BY 1",
         "feature_variances": "SELECT unnest([" + ", ".join(f"{{'feature': '{f}', 'variance': round(v{i}, 5)}}" for i, f in enumerate(FEATURES)) + "], recursive := true) FROM (SELECT " + ", ".join(f"var_samp({f}) AS v{i}" for i, f in enumerate(FEATURES)) + " FROM lineitem)",
