@@ -40,6 +40,16 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.grouped_split(table(spark, d, "compounds"), "record_id")
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What a split must keep: every record placed once, no group in two splits, shares within a hundredth."""
+    r = grouped_split.grouped_split(table(spark, d, "compounds"), "record_id")
+    g = r.groupBy("component").agg(F.count("*").alias("n"), F.min("new_split").alias("lo"), F.max("new_split").alias("hi"))
+    near = F.lit(True)
+    for name, share in zip(grouped_split.SPLITS, (0.8, 0.1, 0.1), strict=True):
+        near = near & (F.abs(F.sum(F.when(F.col("lo") == name, F.col("n")).otherwise(0)) / F.sum("n") - share) <= 0.01)
+    return g.agg(F.sum("n").alias("records"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), near.alias("near"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     records = _readable(spark, d).select(F.col("mol_id").alias("id"), "smiles").union(table(spark, d, "structures").select("id", "smiles"))
     return similar_sets.similar_records(records, "id", "smiles").select("id_a", "id_b")
@@ -53,6 +63,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What containers must keep: every text with a character in some, none too full, under a hundredth of the room unused in all but one."""
+    c = packing.pack_texts(table(spark, d, "documents"))
+    per = c.groupBy("container").agg(F.sum("tokens").alias("t"))
+    full = per.agg(F.count_if(F.col("t") > 2048).alias("too_full"), (F.sum("t") >= 0.99 * 2048 * (F.count("*") - 1)).alias("tight"))
+    return c.agg(F.count_distinct("doc_id").alias("texts")).crossJoin(F.broadcast(full))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.garbled_texts(table(spark, d, "documents")).select("doc_id")
 
@@ -62,7 +80,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_terms, p4_found, p4_split, p5_found, p6_ids, p7_containers, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_terms, p4_found, p4_split, p4_shares, p5_found, p6_ids, p7_containers, p7_fill, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -73,6 +91,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"{terms} SELECT term FROM m WHERE mark IS NOT NULL",
         "p3_terms": f"{terms} SELECT term, occurrences, records, mark FROM m",
+        "p4_shares": "SELECT count(*) AS records, 0::BIGINT AS torn, true AS near FROM compounds",
+        "p7_fill": "SELECT count(*) AS texts, 0::BIGINT AS too_full, true AS tight FROM documents WHERE length(text) > 0",
         "p5_found": """WITH r AS (SELECT mol_id AS id, trim(smiles, E' \\t\\n\\r\\x0b\\x0c') AS s FROM molecules WHERE smiles IS NOT NULL AND error IS NULL
                 UNION ALL SELECT id, trim(smiles, E' \\t\\n\\r\\x0b\\x0c') FROM structures WHERE smiles IS NOT NULL),
             g AS (SELECT DISTINCT id, substr(s, i, 6) AS piece FROM (SELECT id, s, unnest(range(1, length(s) - 4)) AS i FROM r)),
