@@ -161,7 +161,7 @@ def gasteiger(m: Molecule, rounds: int = 6) -> list[float]:
 
 
 def embed(m: Molecule, steps: int = 80) -> np.ndarray:
-    """Coordinates of the atoms, the same for a molecule at every call.
+    """Coordinates of the atoms, the same for a text at every call; another order of the atoms may give other ones.
 
     The start is the three main axes of the squared path lengths (an atom's neighbours stand 1.4 Å apart, farther ones nearer
     than their path is long, fragments 4 Å further); then pairs are moved towards bond lengths (sum of covalent radii, shorter
