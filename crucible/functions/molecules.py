@@ -55,7 +55,7 @@ def _udf(kind: str, f: Callable) -> Callable[[Column | str], Column]:
     return run
 
 
-def parse(smiles: Column | str) -> Column:
+def parse(smiles: Column | str, once: bool = False) -> Column:
     """The molecule as a struct of formula, weight, atoms, bonds, rings and error; error tells why a text can't be read."""
     shipped()
 
@@ -80,7 +80,7 @@ def parse(smiles: Column | str) -> Column:
             rows = [known[text] for text in s]
             yield pd.DataFrame(rows, columns=["formula", "weight", "atoms", "bonds", "rings", "error"])
 
-    return run(smiles)
+    return (run.asNondeterministic() if once else run)(smiles)
 
 
 def descriptors(smiles: Column | str, names: list[str]) -> Column:
@@ -187,8 +187,12 @@ def formula_fragments(formula: Column | str) -> Column:
 
 
 def molecules(df: DataFrame, id_col: str, smiles_col: str) -> DataFrame:
-    """(mol_id, smiles, formula, weight, atoms, bonds, rings, error)."""
-    return df.select(F.col(id_col).alias("mol_id"), F.col(smiles_col).alias("smiles"), parse(smiles_col).alias("m")).select("mol_id", "smiles", "m.*")
+    """(mol_id, smiles, formula, weight, atoms, bonds, rings, error).
+
+    The reader counts as not deterministic here, so that Spark runs it once a row however often its parts are used or filtered
+    by; filter rows before.
+    """
+    return df.select(F.col(id_col).alias("mol_id"), F.col(smiles_col).alias("smiles"), parse(smiles_col, once=True).alias("m")).select("mol_id", "smiles", "m.*")
 
 
 def atoms(mols: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crucible.operators.similarity import distances, fuzzy_union, nearest
 from crucible.operators.structure import smooth_knn
+from crucible.runtime import written
 
 #: Rows that the layout takes: its steps depend on each other, so it runs in one task; more raise an error.
 LAYOUT_ROWS = 50_000
@@ -48,7 +49,8 @@ def curve_parameters(spread: float = 1.0, min_dist: float = 0.1, rounds: int = 1
 
 def fuzzy_graph(rows: DataFrame, id_col: str, vector_col: str, neighbours: int = 15, metric: str = "euclidean", mix: float = 1.0) -> DataFrame:
     """(i, j, w): the fuzzy neighbour graph of all rows, both directions, weights over the largest."""
-    e = fuzzy_union(smooth_knn(nearest(rows, id_col, vector_col, neighbours, metric, queries=rows), neighbours), mix)
+    directed = written(smooth_knn(nearest(rows, id_col, vector_col, neighbours, metric, queries=rows), neighbours))  # both directions read it
+    e = written(fuzzy_union(directed, mix))
     most = e.agg(F.max("w")).first()[0]
     return e.withColumn("w", F.col("w") / F.lit(most) if most else F.col("w"))
 
@@ -135,8 +137,6 @@ def fit_umap(rows: DataFrame, id_col: str, vector_col: str, neighbours: int = 15
 
     Null vectors are left out. One row lies at the origin; no rows give an empty map.
     """
-    from crucible.runtime import written
-
     x = written(rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)))
     n = x.count()
     if n > LAYOUT_ROWS:

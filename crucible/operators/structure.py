@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -101,21 +103,35 @@ def dbscan(points: DataFrame, id_col: str, coords: list[str], eps: float = 0.5,
 
 
 def smooth_knn(neighbours: DataFrame, k: int, rounds: int = 64) -> DataFrame:
-    """(i, j, w): directed fuzzy weights exp(-(d - rho) / sigma) of (query, id, distance) rows; sigma by bisection so that they sum to log2 k."""
+    """(i, j, w): directed fuzzy weights exp(-(d - rho) / sigma) of (query, id, distance) rows; sigma by bisection so that they sum to log2 k.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["distance"].to_numpy(float)
-        rho = float(d[d > 0].min()) if (d > 0).any() else 0.0
-        lo, hi, sigma, target = 0.0, np.inf, 1.0, np.log2(k)
-        for _ in range(rounds):
-            s = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
-            if abs(s - target) < 1e-5:
-                break
-            if s > target:
-                hi, sigma = sigma, (lo + sigma) / 2
-            else:
-                lo, sigma = sigma, sigma * 2 if hi == np.inf else (sigma + hi) / 2
-        sigma = max(sigma, 1e-3 * float(d.mean() or 1.0))
-        return pd.DataFrame({"i": pdf["query"], "j": pdf["id"], "w": np.exp(-np.maximum(d - rho, 0) / sigma)})
-
-    return neighbours.groupBy("query").applyInPandas(run, "i long, j long, w double")
+    rho is the least distance above 0. A row's neighbours come as one list of k; a batch of rows is bisected at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = b["d"].map(len).to_numpy() if len(b) else np.zeros(0, int)
+            if not len(n):
+                continue
+            d = np.full((len(n), n.max()), np.inf)
+            there = np.arange(n.max())[None, :] < n[:, None]
+            d[there] = np.concatenate([np.asarray(x, float) for x in b["d"]])
+            rho = np.where(there & (d > 0), d, np.inf).min(axis=1)
+            rho = np.where(np.isfinite(rho), rho, 0.0)
+            over = np.where(there, np.maximum(d - rho[:, None], 0), np.inf)
+            lo, hi, sigma, target = np.zeros(len(n)), np.full(len(n), np.inf), np.ones(len(n)), np.log2(k)
+            live = np.ones(len(n), bool)
+            for _ in range(rounds):
+                s = np.exp(-over / sigma[:, None]).sum(axis=1)
+                live &= np.abs(s - target) >= 1e-5
+                high = live & (s > target)
+                low = live & ~high
+                hi = np.where(high, sigma, hi)
+                lo = np.where(low, sigma, lo)
+                sigma = np.where(high, (lo + hi) / 2, np.where(low, np.where(np.isfinite(hi), (sigma + np.where(np.isfinite(hi), hi, 0)) / 2, sigma * 2), sigma))
+            mean = np.where(there, d, 0).sum(axis=1) / np.maximum(n, 1)
+            sigma = np.maximum(sigma, 1e-3 * np.where(mean > 0, mean, 1.0))
+            yield pd.DataFrame({"i": np.repeat(b["query"].to_numpy(), n), "j": np.concatenate([np.asarray(x) for x in b["ids"]]), "w": np.exp(-over / sigma[:, None])[there]})
+
+    listed = neighbours.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("l"))  # k entries a row
+    return listed.select("query", F.col("l")["distance"].alias("d"), F.col("l")["id"].alias("ids")).mapInPandas(run, "i long, j long, w double")
