@@ -102,7 +102,8 @@ def random_split(df: DataFrame, id_col: str, ratio: float, seed: int = 42, split
         return df.withColumn(split_col, F.lit("Train"))
     inside = df.where(high == at).select(h.alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(want - before)  # a 65,536th of the rows
     last = inside.agg(F.max(F.struct("h", "i")).alias("m")).first()["m"]
-    within = F.lit(False) if last is None else F.struct(h.alias("h"), F.col(id_col).alias("i")) <= F.struct(F.lit(last["h"]), F.lit(last["i"]))
+    kind = df.schema[id_col].dataType  # structs compare only if their fields' types are the same
+    within = F.lit(False) if last is None else F.struct(h.alias("h"), F.col(id_col).alias("i")) <= F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["i"]).cast(kind).alias("i"))
     return df.withColumn(split_col, F.when((high < at) | ((high == at) & within), "Train").otherwise("Test"))
 
 

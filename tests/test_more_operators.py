@@ -38,6 +38,16 @@ def test_splits(spark):
     assert got == set(map(int, train))
 
 
+def test_random_split_within_a_bucket_of_hashes(spark):
+    """So many rows that several share the 16 bits at which the sides part."""
+    df = spark.range(200_000)
+    h = F.xxhash64("id", F.lit(42))
+    order = [r.id for r in df.orderBy(h, "id").collect()]
+    for want in (100_000, 100_001, 100_002, 100_003):
+        got = {r.id for r in dataset.random_split(df, "id", (want + 0.5) / 200_000).where("split_status = 'Train'").collect()}
+        assert got == set(order[:want])
+
+
 def test_split_engine(spark):
     df = spark.createDataFrame([(i, s, float(i)) for i, s in enumerate(["CCO", "c1ccccc1C", "Cc1ccccc1", "C1CC1C", "CCC", "CCN", " CCO ", None, "", "N(", "c1ccccc1CC"])], "id long, smiles string, y double")
     for name in dataset.SPLITTERS[:6]:
