@@ -182,3 +182,17 @@ def test_written_tables_are_dropped(spark):
     n = len(runtime.tables_of(spark))
     a = runtime.written(spark.range(5))
     assert runtime.drop_written(spark, keep=1) == n and a.count() == 5 and len(runtime.tables_of(spark)) == 1
+
+
+def test_random_split_query_of_many_rows(spark, tmp_path):
+    """The query places every record once, also where several share the bucket of the last Train row."""
+    from crucible.plans import table_queries
+
+    h = F.shiftright(F.xxhash64("record_id", F.lit(42)), 48)
+    ids = spark.range(400_000).select(F.col("id").alias("record_id"))
+    shared = ids.groupBy(h.alias("b")).count().where("count >= 5 and b between 0 and 100").agg(F.min("b")).first()[0]
+    low, one, high = ids.where(h < 0).limit(78), ids.where(h == shared).limit(5), ids.where(h > 100).limit(17)
+    low.union(one).union(high).write.parquet(str(tmp_path / "compounds.parquet"))  # 80 of 100: two of the five
+    r = table_queries.random_split(spark, str(tmp_path))
+    assert {x.split_status: x["count"] for x in r.groupBy("split_status").count().collect()} == {"Train": 80, "Test": 20}
+    assert r.select("record_id").distinct().count() == 100
