@@ -5,8 +5,8 @@
     term  := PROP OP NUM | class word | "chain" ID | "resname" ID | "resid" INT | element | residue name
 
 `near` and `around` mean `within`. A `within` or `bonded` selection holds its source atoms. The bare word `chain` means atoms
-outside rings, `hetero` means heavy, `heteroatom` neither C nor H. Trees of terms only become one boolean column; only bonded
-and within need joins.
+outside rings, `hetero` means heavy, `heteroatom` neither C nor H. Trees of terms only become one boolean column, which counts
+and sums read in one pass over the atoms; only bonded and within need joins.
 """
 
 from __future__ import annotations
@@ -236,13 +236,18 @@ class Selector:
 
     def count(self, text: str) -> DataFrame:
         """(mol_id, n) with 0 for molecules without a selected atom."""
+        c = self.column(parse(text))
+        if c is not None:
+            return self.atoms.groupBy("mol_id").agg(F.count_if(c).alias("n"))
         hit = self.select(text).groupBy("mol_id").agg(F.count("*").alias("k"))
         return self.atoms.select("mol_id").distinct().join(hit, "mol_id", "left").select("mol_id", F.coalesce("k", F.lit(0)).alias("n"))
 
     def sum_property(self, prop: str, text: str = "all") -> DataFrame:
         """(mol_id, total) of a numeric column, or of the element's mass, over the selected atoms."""
         value = F.col(prop) if prop in self.atoms.columns else F.try_element_at(F.create_map(*[v for k, w in MASS.items() for v in (F.lit(k), F.lit(w))]), F.col("symbol"))
-        return self.atoms.join(self.select(text), ["mol_id", "idx"], "left_semi").groupBy("mol_id").agg(F.sum(value).alias("total"))
+        c = self.column(parse(text))
+        chosen = self.atoms.where(c) if c is not None else self.atoms.join(self.select(text), ["mol_id", "idx"], "left_semi")
+        return chosen.groupBy("mol_id").agg(F.sum(value).alias("total"))
 
     def summary(self) -> DataFrame:
         """(mol_id, atoms, donors, acceptors, lipophilic, polar, heavy): how many atoms of each kind a molecule has."""

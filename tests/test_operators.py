@@ -216,3 +216,12 @@ def test_entry_without_llm(spark):
     assert e.entry(spark).count() > 0
     q = set(e.queries())
     assert set(e.oracle_sql()) <= q
+
+
+def test_plain_sums_join_nothing(spark):
+    """Sums over a selection of terms only are one pass over the atoms: no join, so nothing that grows with the rows is broadcast."""
+    m = spark.createDataFrame([(1, "CCO"), (2, "[H][H]"), (3, "C1CC1O")], "mol_id long, smiles string")
+    m = M.molecules(m, "mol_id", "smiles")
+    total = selection.Selector(M.atoms(m), M.bonds(m)).sum_property("mass", "heavy")
+    assert {r.mol_id: round(r.total, 3) for r in total.collect()} == {1: 40.021, 3: 52.032}
+    assert "Join" not in total._jdf.queryExecution().toString()
