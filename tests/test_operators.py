@@ -225,3 +225,13 @@ def test_plain_sums_join_nothing(spark):
     total = selection.Selector(M.atoms(m), M.bonds(m)).sum_property("mass", "heavy")
     assert {r.mol_id: round(r.total, 3) for r in total.collect()} == {1: 40.021, 3: 52.032}
     assert "Join" not in total._jdf.queryExecution().toString()
+
+
+def test_plain_counts_join_nothing(spark, tmp_path):
+    """sele_ring reads what is in a ring from the molecule's row: no join; a ring of over 20 atoms counts as none and keeps its row."""
+    from crucible.plans import molecule_queries
+
+    spark.createDataFrame([(1, 3), (2, 20), (3, 21), (4, 1)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    r = molecule_queries.sele_ring(spark, str(tmp_path))
+    assert {x.mol_id: x.n for x in r.collect()} == {1: 3, 2: 20, 3: 0}
+    assert "Join" not in r._jdf.queryExecution().toString()
