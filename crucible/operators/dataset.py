@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crucible.operators import farthest
 from crucible.operators.text import blank_to_null
 
-#: Rows that a greedy, inherently sequential splitter takes in its one task; more raise an error. Memory follows the rows, time their square.
+#: Rows that sphere exclusion takes in its one task; more raise an error. Memory follows the rows, time their square.
 SEQUENTIAL_ROWS = 20_000
+#: Rows up to which the other sequential splitters look at every row a step; with more they use `farthest`, which chooses the same.
+SCANNED_ROWS = 5_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -147,21 +150,21 @@ def split_statistics(df: DataFrame, split_col: str, target_col: str) -> DataFram
     return per.withColumn("pct", F.col("n") * 100.0 / F.lit(max(1, total)))
 
 
-def _sequential(df: DataFrame, id_col: str, features_col: str, pick) -> DataFrame:  # noqa: ANN001
-    n = df.count()
-    if n > SEQUENTIAL_ROWS:
-        raise ValueError(f"{n} rows; a sequential splitter takes {SEQUENTIAL_ROWS}")
+def _sequential(df: DataFrame, id_col: str, features_col: str, pick, most: int | None = None) -> DataFrame:  # noqa: ANN001
+    if most is not None and (n := df.count()) > most:
+        raise ValueError(f"{n} rows; this splitter takes {most}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["x"].tolist(), float)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        x = t["x"].combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
         train = np.zeros(len(x), bool)
         train[pick(x)] = True
-        return pd.DataFrame({"id": pdf["id"], "split_status": np.where(train, "Train", "Test")})
+        return pa.table({"id": t["id"], "split_status": pa.array(np.where(train, "Train", "Test").tolist())})
 
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("id"), F.col(features_col).alias("x"), F.lit(0).alias("one"))
-    return rows.groupBy("one").applyInPandas(run, f"id {kind}, split_status string").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(features_col).cast("array<double>").alias("x"), F.lit(0).alias("one"))
+    return rows.groupBy("one").applyInArrow(run, f"id {kind}, split_status string").withColumnRenamed("id", id_col)
 
 
 def _distance(x: np.ndarray, i: int) -> np.ndarray:
@@ -172,6 +175,9 @@ def _distance(x: np.ndarray, i: int) -> np.ndarray:
 
 def _farthest_pair(x: np.ndarray) -> tuple[int, int]:
     """The first of the farthest pairs; rows of distances are made and dropped one by one, so memory follows the rows only."""
+    if len(x) > SCANNED_ROWS and len(rows := farthest.far_rows(x)) < len(x):
+        i, j = _farthest_pair(x[rows])
+        return int(rows[i]), int(rows[j])
     best, pair = -1.0, (0, 0)
     for i in range(len(x)):
         d = _distance(x, i)
@@ -189,6 +195,13 @@ def kennard_stone(df: DataFrame, id_col: str, features_col: str, ratio: float) -
         if k <= 0 or k >= len(x):
             return list(range(max(0, min(k, len(x)))))
         i, j = _farthest_pair(x)
+        if len(x) > SCANNED_ROWS:
+            taken, near = [], farthest.Nearest(farthest.Leaves(x))
+            while len(taken) < max(2, k):
+                taken.append((i, j)[len(taken)] if len(taken) < 2 else near.farthest())
+                near.drop(taken[-1])
+                near.add(x[taken[-1]])
+            return taken
         taken, near = [i, j], np.minimum(_distance(x, i), _distance(x, j))
         near[taken] = -1
         while len(taken) < k:
@@ -223,6 +236,22 @@ def duplex(df: DataFrame, id_col: str, features_col: str, ratio: float) -> DataF
             i, j = _farthest_pair(x[own])
             sides.append([int(own[i]), int(own[j])])
             free[sides[-1]] = False
+        if n > SCANNED_ROWS:
+            tree = farthest.Leaves(x)
+            far = [farthest.Nearest(tree) for _ in sides]
+            for side, own in zip(sides, far, strict=True):
+                for i in side:
+                    own.add(x[i])
+                    for both in far:
+                        both.drop(i)
+            for _ in range(int(free.sum())):
+                to = 0 if len(sides[0]) / (len(sides[0]) + len(sides[1])) < ratio and len(sides[0]) < k else 1
+                i = far[to].farthest()
+                sides[to].append(i)
+                for both in far:
+                    both.drop(i)
+                far[to].add(x[i])
+            return sides[0]
         near = [np.min([_distance(x, i) for i in side], axis=0) if side else np.zeros(n) for side in sides]
         while free.any():
             to = 0 if len(sides[0]) / (len(sides[0]) + len(sides[1])) < ratio and len(sides[0]) < k else 1
@@ -239,6 +268,8 @@ def d_optimal(df: DataFrame, id_col: str, features_col: str, ratio: float, ridge
     """Greedy choice of the row of largest leverage given those taken."""
 
     def pick(x: np.ndarray) -> list[int]:
+        if len(x) > SCANNED_ROWS:
+            return farthest.by_leverage(x, int(len(x) * ratio), ridge)
         inv, taken, free = np.eye(x.shape[1]) / ridge, [], np.ones(len(x), bool)
         for _ in range(int(len(x) * ratio)):
             i = int(np.argmax(np.where(free, np.einsum("ij,jk,ik->i", x, inv, x), -1)))
@@ -283,7 +314,7 @@ def sphere_exclusion(df: DataFrame, id_col: str, features_col: str, ratio: float
             lo, hi = (r, hi) if len(s) > want else (lo, r)
         return [i for i in range(n) if i not in set(best)]
 
-    return _sequential(df, id_col, features_col, pick)
+    return _sequential(df, id_col, features_col, pick, SEQUENTIAL_ROWS)
 
 
 def variances(df: DataFrame, cols: list[str]) -> DataFrame:

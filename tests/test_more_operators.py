@@ -196,3 +196,21 @@ def test_random_split_query_of_many_rows(spark, tmp_path):
     r = table_queries.random_split(spark, str(tmp_path))
     assert {x.split_status: x["count"] for x in r.groupBy("split_status").count().collect()} == {"Train": 80, "Test": 20}
     assert r.select("record_id").distinct().count() == 100
+
+
+def test_sequential_splitters_of_many_rows(spark, monkeypatch):
+    """More rows than a scan takes: the choices are those of the scan, also with ties and repeated rows, and no number of rows is an error."""
+    r = np.random.default_rng(5)
+    sets = [np.round(r.normal(size=(400, 3)), 1), np.repeat(r.normal(size=(90, 2)), 4, axis=0), np.zeros((70, 3))]
+    monkeypatch.setattr(dataset, "_sequential", lambda df, i, f, pick, most=None: pick)
+    for x in sets:
+        for f in (dataset.kennard_stone, dataset.duplex, dataset.d_optimal):
+            pick = f(None, "i", "x", 0.7)
+            got = []
+            for most in (10**9, 16):
+                monkeypatch.setattr(dataset, "SCANNED_ROWS", most)
+                got.append(pick(x))
+            assert got[0] == got[1]
+    monkeypatch.undo()
+    v = spark.range(20_001).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("x"))
+    assert dataset.d_optimal(v, "id", "x", 0.01).where("split_status = 'Train'").count() == 200
