@@ -235,3 +235,14 @@ def test_plain_counts_join_nothing(spark, tmp_path):
     r = molecule_queries.sele_ring(spark, str(tmp_path))
     assert {x.mol_id: x.n for x in r.collect()} == {1: 3, 2: 20, 3: 0}
     assert "Join" not in r._jdf.queryExecution().toString()
+
+
+def test_groups_of_molecules_read_a_molecule_once(spark, tmp_path):
+    """Scaffold, groups, matches and graph come from one pass of Python; a text that can't be read keeps a row of nulls."""
+    from crucible.plans import molecule_queries
+
+    spark.createDataFrame([(1, "CC(=O)NC", None), (2, "C((", None)], "mol_id long, smiles string, error string").write.parquet(str(tmp_path / "molecules.parquet"))
+    r = molecule_queries.groups_of_molecules(spark, str(tmp_path))
+    assert r._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    a, b = r.orderBy("mol_id").collect()
+    assert (a.scaffold, a.amides, a.graph.diameter, b.scaffold, b.groups, b.amides, b.graph.diameter) == ("", 1, 3, None, None, None, None)
