@@ -214,3 +214,12 @@ def test_sequential_splitters_of_many_rows(spark, monkeypatch):
     monkeypatch.undo()
     v = spark.range(20_001).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("x"))
     assert dataset.d_optimal(v, "id", "x", 0.01).where("split_status = 'Train'").count() == 200
+
+
+def test_boruta_split_of_many_rows(spark, monkeypatch):
+    """More rows than a scan of all of them a step would take are split whole; the forests are tested elsewhere."""
+    monkeypatch.setattr(dataset, "boruta_features", lambda x, cols, target: cols[:2])
+    n = dataset.SEQUENTIAL_ROWS + 100
+    df = spark.range(n).select("id", F.concat(F.lit("C"), F.col("id").cast("string")).alias("smiles"), F.rand(1).alias("y"), *[F.rand(s).alias(f"d{s}") for s in (2, 3, 4)])
+    r = dataset.split_dataset(df, "Boruta", 0.8, "smiles", "id", "y", ["d2", "d3", "d4"])
+    assert {x.split_status: x["count"] for x in r.groupBy("split_status").count().collect()} == {"Train": int(n * 0.8), "Test": n - int(n * 0.8)}
