@@ -223,3 +223,40 @@ def test_boruta_split_of_many_rows(spark, monkeypatch):
     df = spark.range(n).select("id", F.concat(F.lit("C"), F.col("id").cast("string")).alias("smiles"), F.rand(1).alias("y"), *[F.rand(s).alias(f"d{s}") for s in (2, 3, 4)])
     r = dataset.split_dataset(df, "Boruta", 0.8, "smiles", "id", "y", ["d2", "d3", "d4"])
     assert {x.split_status: x["count"] for x in r.groupBy("split_status").count().collect()} == {"Train": int(n * 0.8), "Test": n - int(n * 0.8)}
+
+
+def test_equal_texts_are_worked_on_once(spark, tmp_path, monkeypatch):
+    """However the rows of a text lie, its descriptors are worked out in one place, and every row gets them."""
+    from crucible.plans import molecule_queries as Q
+
+    texts = ["CCO", "c1ccccc1", "CC(=O)O", "C1CC1"]
+    rows = spark.range(400).select(F.col("id").alias("mol_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("smiles"), F.lit(None).cast("string").alias("error"))
+    rows.repartition(8).write.parquet(str(tmp_path / "molecules.parquet"))
+    where = runtime.gathered(spark.read.parquet(str(tmp_path / "molecules.parquet")), "smiles").select("smiles", F.spark_partition_id().alias("p"))
+    assert where.distinct().count() == 4
+    r = Q.all_descriptors_of_molecules(spark, str(tmp_path))
+    got = {(x.n, x.w) for x in r.groupBy(F.col("mol_id") % 4).agg(F.count("*").alias("n"), F.countDistinct("MolecularWeight", "Chi4n", "ATS3m").alias("w")).collect()}
+    assert got == {(100, 1)}
+
+
+def test_kernels_of_paths():
+    """Distances, path products and autocorrelations against plain definitions."""
+    from itertools import permutations
+    from math import prod, sqrt
+
+    from crucible.chem.descriptors import compute
+    from crucible.chem.graph import Molecule
+
+    for text in ("CC(C)Oc1ccncc1", "C1CC1.CO", "[H]OC(C)(C)C"):
+        m = Molecule(text)
+        a, n = m.adjacency(), len(m.heavy())
+        d = np.where(np.eye(n) > 0, 0, np.where(a > 0, 1, np.inf))
+        for k in range(n):
+            d = np.minimum(d, d[:, k, None] + d[None, k])
+        assert (m.distances() == d).all()
+        deg = a.sum(axis=0)
+        paths = [p for p in permutations(range(n), 4) if p[0] < p[-1] and all(a[i, j] for i, j in zip(p, p[1:], strict=False))]
+        i, j = np.nonzero(np.triu(np.where(np.isfinite(d), d, 0)) == 2)
+        got = compute(m, ["Chi3n", "ATS2d", "SzegedIndex"])
+        near = [((d[x] < d[y]).sum() * (d[y] < d[x]).sum()) for x, y in zip(*np.nonzero(np.triu(a)), strict=True)]
+        assert np.allclose(got, [sum(1 / sqrt(prod(deg[x] for x in p)) for p in paths), (deg[i] * deg[j]).sum(), sum(near)])
