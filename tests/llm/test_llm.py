@@ -294,3 +294,25 @@ def test_finds_places_deep_in_a_run_without_white_space(spark, model):
     got = {r.doc_id: r.restored for r in garbled.garbled_texts(df, model=model).collect()}
     assert {1, 3, 4, 5, 6} <= set(got) and 2 not in got and got[6] == "ж" * 2000 + "Größe" + "ж" * 99
     assert got[1].startswith("ж" * 3000) and "плавления" in got[1] and "плавления" in got[4]
+
+
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_trees_grown_in_rounds_leave_no_signatures(spark, monkeypatch, hot):
+    """Pairs are those of the exact sets, also from blocks of hot neighbourhoods, and what is kept on disk is little more than the texts."""
+    from pathlib import Path
+
+    from crucible.runtime import tables_of
+
+    monkeypatch.setattr(similar_sets, "HOT", hot)
+    monkeypatch.setattr(similar_sets, "LEAVES", 2_000)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("CNOcn()=1") for _ in range(100)) for _ in range(300)]
+    texts = base + [b[:50] + "X" + b[51:] for b in base[:40]] + [base[0][:k] + "Y" + base[0][k + 1 :] for k in range(90, 100)] + base[:5]
+    rows = list(enumerate(texts))
+    sets = [{t[k : k + 6] for k in range(len(t) - 5)} for t in texts]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    before = tables_of(spark)
+    got = [(r.id_a, r.id_b) for r in similar_sets.similar_records(spark.createDataFrame(rows, "id long, smiles string"), "id", "smiles").collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    new = [p for p in tables_of(spark) if p not in before]
+    assert len(new) == 2 and sum(f.stat().st_size for p in new for f in Path(p.removeprefix("file:")).rglob("*.parquet")) < 4 * sum(map(len, texts))
