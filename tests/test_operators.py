@@ -246,3 +246,16 @@ def test_groups_of_molecules_read_a_molecule_once(spark, tmp_path):
     assert r._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     a, b = r.orderBy("mol_id").collect()
     assert (a.scaffold, a.amides, a.graph.diameter, b.scaffold, b.groups, b.amides, b.graph.diameter) == ("", 1, 3, None, None, None, None)
+
+
+def test_sele_ring_holds_rings_of_any_size(spark, tmp_path):
+    """A ring's size doesn't decide whether its atoms are in a ring; a bond between two rings puts none there."""
+    from crucible.chem.graph import Molecule
+    from crucible.plans import molecule_queries
+
+    spark.createDataFrame([(1, 3), (2, 20), (3, 21), (4, 50), (5, 2)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    r = molecule_queries.sele_ring(spark, str(tmp_path))
+    assert {x.mol_id: x.n for x in r.collect()} == {1: 3, 2: 20, 3: 21, 4: 50}
+    assert "Join" not in r._jdf.queryExecution().toString()
+    big = "C1" + "C" * 28 + "C1"  # 30 atoms
+    assert Molecule(f"CC{big.replace('C1', 'C2', 1)[:-1]}2CCC3CC3").cyclic() == [*range(2, 32), 34, 35, 36] and Molecule("CCO").cyclic() == []
