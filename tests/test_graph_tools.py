@@ -181,3 +181,44 @@ def test_edits(spark):
     assert {x.mol_id: [(b.a, b.b) for b in x.bonds] for x in H.with_bonds(m, new).collect()} == {1: [(0, 1), (1, 2), (2, 3), (0, 3)], 2: []}
     o = m.select("mol_id", H.optimised("smiles", 5).alias("o")).collect()
     assert len(o) == 2 and set(o[0].o.terms) >= {"bond", "torsion"}
+
+
+def test_graph_properties_of_many_molecules_follow_their_definitions(monkeypatch):
+    """Molecules of one to several words of atoms are worked on side by side; nothing measures a molecule's distances pair by pair."""
+    from crucible.chem.cycles import bridges
+    from crucible.chem.matching import maximum_matching
+    from crucible.functions.graphs import properties_of
+
+    texts = ["C", "[H][H]", "CCO", "CC(=O)Nc1ccc2cc(O)ccc2c1", "[Na+].[Cl-]", "C1.C1", "C1C3CC3.C2.C12", "C(C1)CC1", "C12C3C4C1C5C2C3C45", "C1CC12CC2.CO", "[Br-].C1CC1CC1CC1", "C" * 64, "OC" + "C" * 63, "N" + "C" * 140 + "1CCCCCC1", "C1" + "C" * 28 + "C1", "C(C)(C)(C)" * 20]
+    want = []
+    for m in map(Molecule, texts):
+        d, h = m.distances(), m.heavy()
+        near = [[j for j, _ in x] for x in m.near]
+        ends = [i for i in range(len(h)) if len(near[i]) <= 1]
+        reach = d[np.isfinite(d)]
+        want.append((
+            int(reach.max(initial=0)), len({(m.symbol[i], tuple(sorted((float(x), m.symbol[j]) for x, j in zip(d[k], h, strict=True)))) for k, i in enumerate(h)}), int(max((d[i, j] for i in ends for j in ends if np.isfinite(d[i, j])), default=0)),
+            len(bridges(m.near)), sum(x >= 0 for x in maximum_matching(near)) // 2, len(set(m._components())),
+        ))
+    monkeypatch.delattr(Molecule, "distances")
+    got = [tuple(p[k] for k in ("diameter", "symmetry_classes", "longest_path_ends", "bridges", "matching", "components")) for p in properties_of([Molecule(x) for x in texts])]
+    assert got == want
+
+
+def test_small_queries_match_as_the_search_does():
+    """Embeddings that are listed from a query's rarest bond are those of the search."""
+    for text in ("CC(=O)Nc1ccc(C(=O)OC(=O)C)cc1S(=O)(=O)N", "CC(C)(C)C(C)(C)C", "NC(=O)NC(=O)O", "C1CC1C(=O)NC=O", "C"):
+        m = Molecule(text)
+        for query in ("C(=O)N", "O=COC=O", "CS(=O)(=O)C", "CCCC", "CC(C)(C)C", "C=O", "C", "C.O", "c1ccccc1", "C1CC1", "CCCCCCCCC"):
+            q = Molecule(query)
+            assert P.match_sets(m, q) == [list(s) for s in sorted({tuple(sorted(x)) for x in P.matches(m, q)})]
+
+
+def test_equal_texts_of_groups_of_molecules_come_together(spark, tmp_path):
+    """Rows of one text lie side by side, so that it is worked on once."""
+    from crucible.plans import molecule_queries
+
+    spark.createDataFrame([(k, "CCO" if k % 2 else "C1CC1N", None) for k in range(20)], "mol_id long, smiles string, error string").repartition(4).write.parquet(str(tmp_path / "molecules.parquet"))
+    r = molecule_queries.groups_of_molecules(spark, str(tmp_path))
+    assert "hashpartitioning(smiles" in r._jdf.queryExecution().executedPlan().toString()
+    assert {(x.mol_id % 2, x.scaffold, tuple(x.groups), x.graph.bridges) for x in r.collect()} == {(1, "", ("hydroxyl",), 2), (0, "C1CC1", ("amine",), 1)} and r.count() == 20
